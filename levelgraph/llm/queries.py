@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..queries import Registry, table
 from .components import connected_groups
 from .frequent_items import frequent_items
+from .mixing import mix
+from .packing import fill_report, pack
+from .readability import reading_levels
 from .top_n import top_n_per_group
 
 registry = Registry()
@@ -67,3 +70,57 @@ def p5_found(spark, sf_dir):
 @registry.add("p5_top_heads", _TOP)
 def p5_top_heads(spark, sf_dir):
     return _top(spark, sf_dir)
+
+
+@registry.add("p6_pack")
+def p6_pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+
+
+@registry.add("p6_fill")
+def p6_fill(spark, sf_dir):
+    capacities = table(spark, sf_dir, "pack_capacity")
+    return fill_report(pack(table(spark, sf_dir, "documents"), capacities), capacities)
+
+
+#: Groups of sources that stand in for each other.
+DOMAINS = {
+    "course-archive": "teaching", "question-board": "teaching", "school-club": "teaching", "training-camp": "teaching",
+    "campus-mirror": "teaching", "lab-share": "research", "paper-extras": "research", "field-station": "research",
+    "code-forge": "code", "contest-dump": "code",
+}
+
+
+def _mix(spark, sf_dir, **more):
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), domains=DOMAINS, **more)
+
+
+@registry.add("p7_mixture")
+def p7_mixture(spark, sf_dir):
+    return _mix(spark, sf_dir)[0]
+
+
+@registry.add("p7_shares")
+def p7_shares(spark, sf_dir):
+    return _mix(spark, sf_dir)[1]
+
+
+def _levels(spark, sf_dir):
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+@registry.add("p8_found")
+def p8_found(spark, sf_dir):
+    return _levels(spark, sf_dir).where("reading_level = 5").select("doc_id")
+
+
+@registry.add("p8_reading_levels")
+def p8_reading_levels(spark, sf_dir):
+    return _levels(spark, sf_dir)
+
+
+@registry.add("p8_profile")
+def p8_profile(spark, sf_dir):
+    """Documents and words of each language and level."""
+    n = F.count(F.lit(1)).alias("n_documents")
+    return _levels(spark, sf_dir).groupBy("lang", "reading_level").agg(n, F.sum("n_words").alias("n_words"))
