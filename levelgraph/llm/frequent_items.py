@@ -168,15 +168,16 @@ def _count_symbols(groups: int, seed: int):
     return run
 
 
-def _read_off(groups: int, seed: int, least: dict[str, int]):
-    """The candidates of a group, from its counters; a group with fewer rows than ``least`` can have none."""
+def _read_off(groups: int, seed: int):
+    """The candidates of a group, from its counters."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grp, total = int(pdf["grp"].iat[0]), int(pdf.loc[pdf["pos"] < 0, "n"].sum())
-        body = pdf[pdf["pos"] >= 0].sort_values(["pos", "n", "symbol"], ascending=[True, False, True])
+        grp = int(pdf["grp"].iat[0])
+        body = pdf.sort_values(["pos", "n", "symbol"], ascending=[True, False, True])
+        place = body.groupby("pos").cumcount().to_numpy()
         found: dict[int, int] = {}
-        for rank in range(2 if total >= least[pdf["field_name"].iat[0]] else 0):  # the heaviest symbols, then the next ones: a second frequent value in the group
-            pick = body.groupby("pos").nth(rank)
+        for rank in range(2):  # the heaviest symbols, then the next ones: a second frequent value in the group
+            pick = body[place == rank]
             if len(pick) < WORD - 4:
                 break
             symbols, trust = np.zeros(WORD, np.uint8), np.full(WORD, -1, np.int64)
@@ -185,9 +186,8 @@ def _read_off(groups: int, seed: int, least: dict[str, int]):
             for value in decode(symbols, trust):
                 if int(_group_of(np.array([value], np.int64), groups, seed)[0]) == grp:
                     found.setdefault(value, int(np.median(trust)))
-        base = {"field_name": pdf["field_name"].iat[0], "grp": grp, "n_group": total}
-        rows = [{**base, "key": v, "n_sketch": n} for v, n in found.items()] or [{**base, "key": None, "n_sketch": None}]
-        return pd.DataFrame(rows).astype({"key": "Int64", "n_sketch": "Int64"})
+        rows = [(pdf["field_name"].iat[0], grp, v, n) for v, n in found.items()]
+        return pd.DataFrame(rows, columns=["field_name", "grp", "key", "n_sketch"])
 
     return run
 
@@ -217,36 +217,32 @@ def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.0
         keyed, valued = (k, v) if keyed is None else (keyed.unionByName(k), valued.unionByName(v))
     totals = {n: df.agg(F.count(c)).first()[0] for n, (df, c) in columns.items()}
     least = {n: max(1, math.ceil(share * t - 1e-6)) for n, t in totals.items()}
+    of = lambda x: F.coalesce(F.create_map(*[F.lit(v) for pair in x.items() for v in pair])[F.col("field_name")], F.lit(0))
+    need = of(least)
     candidates, rest = None, keyed
     for k in range(max_rounds):
         counted = rest.mapInArrow(_count_symbols(groups, k), _COUNTERS)
-        counters = counted.groupBy("field_name", "grp", "pos", "symbol").agg(F.sum("n").alias("n"))
-        read = counters.groupBy("field_name", "grp").applyInPandas(
-            _read_off(groups, k, least), "field_name string, grp int, n_group long, key long, n_sketch long"
-        )
-        read = ws.save(read, f"read{k}")  # at most two rows for each group
-        fresh = read.where("key is not null").select("field_name", "key", "n_sketch")
-        exact = rest.join(F.broadcast(fresh), ["field_name", "key"]).groupBy("field_name", "key", "n_sketch").agg(F.count(F.lit(1)).alias("n_rows"))
-        exact = ws.save(exact, f"exact{k}")
+        counters = ws.save(counted.groupBy("field_name", "grp", "pos", "symbol").agg(F.sum("n").alias("n")), f"counters{k}")
+        # only groups with enough rows can hold a frequent value: at most 1/share of them
+        able = counters.where((F.col("pos") < 0) & (F.col("n") >= need)).select("field_name", "grp", F.col("n").alias("n_group"))
+        body = counters.where("pos >= 0").join(F.broadcast(able), ["field_name", "grp"])
+        read = body.groupBy("field_name", "grp").applyInPandas(_read_off(groups, k), "field_name string, grp int, key long, n_sketch long")
+        fresh = ws.save(read, f"read{k}")  # at most two rows for each of those groups
+        keys = F.broadcast(fresh.select("field_name", "key"))
+        exact = rest.join(keys, ["field_name", "key"]).groupBy("field_name", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+        exact = ws.save(exact.join(F.broadcast(fresh), ["field_name", "key"]), f"exact{k}")
         candidates = exact if candidates is None else candidates.unionByName(exact)
-        explained = exact.join(read.where("key is not null").select("field_name", "key", "grp"), ["field_name", "key"])
-        explained = explained.groupBy("field_name", "grp").agg(F.sum("n_rows").alias("n_found"))
-        need = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("field_name")]
-        doubtful = (
-            read.select("field_name", "grp", "n_group").distinct().join(explained, ["field_name", "grp"], "left")
-            .where(F.col("n_group") - F.coalesce("n_found", F.lit(0)) >= need)
-            .select("field_name", "grp")
-        )
-        doubtful = ws.save(doubtful, f"doubtful{k}")
+        explained = exact.groupBy("field_name", "grp").agg(F.sum("n_rows").alias("n_found"))
+        hides = F.col("n_group") - F.coalesce("n_found", F.lit(0)) >= need
+        doubtful = ws.save(able.join(explained, ["field_name", "grp"], "left").where(hides).select("field_name", "grp"), f"doubtful{k}")
         if not doubtful.take(1):
             break
         group = F.pmod(F.xxhash64("key", F.lit(k).cast("long")), F.lit(groups)).cast("int")
         rest = rest.withColumn("grp", group).join(F.broadcast(doubtful), ["field_name", "grp"], "left_semi").select("field_name", "key")
-        rest = rest.join(F.broadcast(fresh), ["field_name", "key"], "left_anti")
+        rest = rest.join(keys, ["field_name", "key"], "left_anti")
     else:
         raise RuntimeError("some groups still hide a frequent value; try a larger share or more rounds")
-    need = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("field_name")]
-    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])[F.col("field_name")]
+    total = of(totals)
     kept = candidates.where(F.col("n_rows") >= need)
     if whole:
         return kept.select("field_name", F.col("key").alias("item"), "n_rows", (F.col("n_rows") / total).alias("share"), "n_sketch")
