@@ -103,7 +103,8 @@ def mix(
     goal = targets.select(spelled(F.col("source")).alias("source"), share.alias("share"), F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(0)).alias("repeat"))
     goal = goal.where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("repeat").alias("repeat"))
     sized = token_counts(documents.select("doc_id", "text", spelled(F.col("source")).alias("source"), F.coalesce(spelled(F.col("lang")), F.lit("?")).alias("lang")), "doc_id", "source", "lang", vocabulary=vocabulary)
-    docs = ws.save(sized.where("tokens > 0 and source is not null").join(goal.select("source"), "source", "left_semi"), "docs")
+    used = sized.where("tokens > 0 and source is not null").join(goal.select("source"), "source", "left_semi")
+    docs = ws.save(used.withColumn("row", F.monotonically_increasing_id()), "docs")
     there = docs.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     goals = {r.source: (r.share, r.repeat) for r in goal.limit(MOST_LEAVES + 1).collect()}
     stats = there.limit(MOST_LEAVES + 1).collect()  # sources with a target, by language
@@ -149,7 +150,7 @@ def _select(docs: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
     drawn = docs.join(F.broadcast(leaf), ["source", "lang"])  # at most MOST_LEAVES rows
     use = ["source", "lang", "doc_id", "epoch", "tokens"]
     epochs = drawn.where("full > 0").withColumn("epoch", F.explode(F.expr("sequence(0, full - 1)"))).select(*use)
-    ordered = drawn.where("rest > 0").withColumn("draw", F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id")))
+    ordered = drawn.where("rest > 0").withColumn("draw", F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("row"))))
     # the order's leading bits part a leaf evenly; only the part in which the budget ends is looked at row by row
     ordered = ordered.withColumn("part", F.expr("if(bits = 0, 0L, shiftrightunsigned(draw, 64 - bits))"))
     parts = ordered.groupBy("source", "lang", "part", "rest").agg(F.sum("tokens").alias("t"))
@@ -166,7 +167,7 @@ def _select(docs: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
 
 def _fitting(part: pd.DataFrame) -> pd.DataFrame:
     """Of the part in which a leaf's budget ends, about SORTED documents: the prefix, then those in order that still fit."""
-    part = part.sort_values(["draw", "doc_id", "tokens"], kind="stable")
+    part = part.sort_values(["draw", "row"], kind="stable")
     room, keep = float(part["room"].iat[0]), []
     for t in part["tokens"]:
         keep.append(t <= room)

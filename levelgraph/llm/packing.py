@@ -135,23 +135,24 @@ def pack(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULA
     each = [tuple(r) for r in wanted.limit(MOST_CAPACITIES + 1).collect()]
     if len(each) > MOST_CAPACITIES:
         raise ValueError(f"more than {MOST_CAPACITIES} capacities")
-    sizes, seen = ws.save_counted(token_counts(documents, "doc_id", vocabulary=vocabulary), "sizes")
+    sizes, seen = ws.save_counted(token_counts(documents, "doc_id", vocabulary=vocabulary).withColumn("row", F.monotonically_increasing_id()), "sizes")
     caps = F.array(*[F.struct(F.lit(n).alias("capacity_name"), F.lit(c).cast("long").alias("capacity")) for n, c in each]) if each else None
     if caps is None:
         kind = documents.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"capacity_name string, container_no long, doc_id {kind}, part_no int, tokens long")
-    over = sizes.select("doc_id", "tokens", F.explode(caps).alias("c")).select("doc_id", "tokens", "c.*")
+    over = sizes.select("doc_id", "row", "tokens", F.explode(caps).alias("c")).select("doc_id", "row", "tokens", "c.*")
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")).cast("int"), F.lit(1)) - 1
-    items = over.select("capacity_name", "capacity", "doc_id", "tokens", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
+    items = over.select("capacity_name", "capacity", "doc_id", "row", "tokens", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
     size = F.when(F.col("part_no") < F.col("last"), F.col("capacity")).otherwise(F.col("tokens") - F.col("last") * F.col("capacity"))
-    sub = F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(max(1, -(-seen["n"] // RANKED)))).cast("int")
+    own = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row")), "part_no")
+    sub = F.pmod(own, F.lit(max(1, -(-seen["n"] // RANKED)))).cast("int")
     items = items.withColumn("size", size).withColumn("sub", sub).drop("tokens", "last")
     counts = items.where("size > 0").groupBy("capacity_name", "capacity", "size", "sub").agg(F.count(F.lit(1)).alias("n"))
     subs = Window.partitionBy("capacity_name", "size").orderBy("sub")
     counts = ws.save(counts.withColumn("offset", F.sum("n").over(subs) - F.col("n")), "counts")
     runs, shape = ws.save_counted(counts.groupBy("capacity_name", "capacity", "size").agg(F.lit(0).cast("long").alias("first"), F.sum("n").alias("n")), "runs")
     plan = ws.save(_plan(runs, -(-shape["n"] // (SHARE_RUNS * len(each))) or 1), "plan")
-    within = Window.partitionBy("capacity_name", "size", "sub").orderBy("doc_id", "part_no")
+    within = Window.partitionBy("capacity_name", "size", "sub").orderBy("doc_id", "row", "part_no")
     ranked = items.where("size > 0").withColumn("row", F.row_number().over(within) - 1)
     ranked = ranked.join(counts.select("capacity_name", "size", "sub", "offset"), ["capacity_name", "size", "sub"])
     ranked = ranked.withColumn("rank", F.col("offset") + F.col("row")).withColumn("chunk", F.floor(F.col("rank") / CHUNK))
