@@ -408,7 +408,7 @@ lev as (select s, v, min(l) as l from b group by 1, 2),
 down as (select a.s, a.v, z.v as w, a.l, m from lev a join e on e.src = a.v join lev z on z.s = a.s and z.v = e.dst and z.l = a.l + 1),
 sig(s, v, l, sigma) as (select distinct id, id, 0, 1.0::double from start
     union all select d.s, d.w, any_value(d.l) + 1, sum(sigma * m) from sig join down d on d.s = sig.s and d.v = sig.v and d.l = sig.l group by d.s, d.w),
-del(l, s, v, delta) as (select {deepest} + 1, -1::bigint, -1::bigint, 0.0::double
+del(l, s, v, delta) as (select max(l) + 1, -1::bigint, -1::bigint, 0.0::double from sig
     union all select x.l, x.s, x.v, sum(coalesce(part, 0)) from (
         select g.l, g.s, g.v, g.sigma * d.m / h.sigma * (1 + del.delta) as part from (select distinct l - 1 as l from del where l > 0) k
         join sig g on g.l = k.l left join down d on d.s = g.s and d.v = g.v left join sig h on h.s = d.s and h.v = d.w
