@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..workspace import Workspace
+from .supersteps import BLOCK, parted, run, superstep
 
 
 def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256) -> DataFrame:
@@ -19,38 +20,46 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256
     spark = graph.edges.sparkSession
     ws = Workspace(spark, "betweenness")
     e = graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    e = e.repartition("src").persist()
+    out, back = parted(e, "src"), parted(e.select("src", "dst", "m"), "dst")
     if sources is None:
         sources = graph.vertices()
     asked, got = ws.save_counted(sources.groupBy("id").agg(F.count(F.lit(1)).alias("times")), "sources")
     batches = -(-got["n"] // batch)
     score = None
+    keys = ["s", "v"]
+
+    def forward(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("v") == F.col("src")) & (F.col("level") == k)
+        keep = F.struct("s", "v", "level", "sigma", F.lit(None).cast("double").alias("got"))
+        send = F.struct("s", F.col("dst").alias("v"), F.lit(k + 1).alias("level"), F.lit(None).cast("double").alias("sigma"), (F.col("sigma") * F.col("m")).alias("got"))
+        met = superstep(state, out, on, keep, send, keys, [F.min("level").alias("level"), F.max("sigma").alias("sigma"), F.sum("got").alias("got")])
+        return met.select("s", "v", "level", F.coalesce("sigma", "got").alias("sigma"))  # who was there keeps its paths
+
+    def backward(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("v") == F.col("dst")) & (F.col("level") == k)
+        keep = F.struct("s", "v", "level", "sigma", "delta", F.lit(None).cast("double").alias("got"))
+        part = F.col("m") * (1 + F.col("delta")) / F.col("sigma")
+        none = F.lit(None).cast("double")
+        send = F.struct("s", F.col("src").alias("v"), F.lit(None).cast("int").alias("level"), none.alias("sigma"), none.alias("delta"), part.alias("got"))
+        most = [F.max(c).alias(c) for c in ("level", "sigma", "delta")]
+        met = superstep(state, back, on, keep, send, keys, [*most, F.sum("got").alias("got")])
+        took = F.when(F.col("level") == k - 1, F.col("sigma") * F.coalesce("got", F.lit(0.0))).otherwise(F.col("delta"))
+        return met.where("level is not null").select("s", "v", "level", "sigma", took.alias("delta"))
+
     for b in range(batches):
         start = asked.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        levels = [ws.save(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")), f"b{b}l0")]
-        seen = levels[0].select("s", "v")
-        while True:
-            k = len(levels)
-            step = levels[-1].withColumnRenamed("v", "src").join(e, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum(F.col("sigma") * F.col("m")).alias("sigma"))
-            front, found = ws.save_counted(step.join(seen, ["s", "v"], "left_anti"), f"b{b}l{k}")
-            if not found["n"]:
-                break
-            levels.append(front)
-            seen = seen.unionByName(front.select("s", "v"))
-        below = None
-        for k in range(len(levels) - 1, 0, -1):
-            here = levels[k]
-            if below is None:
-                delta = here.withColumn("delta", F.lit(0.0))
-            else:
-                far = below.select("s", F.col("v").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("part"))
-                near = here.select("s", F.col("v").alias("src")).join(e, "src").join(far, ["s", "dst"])
-                back = near.groupBy("s", F.col("src").alias("v")).agg(F.sum(F.col("m") * F.col("part")).alias("back"))
-                delta = here.join(back, ["s", "v"], "left").select("s", "v", "sigma", (F.col("sigma") * F.coalesce("back", F.lit(0.0))).alias("delta"))
-            below = ws.save(delta, f"b{b}d{k}")
-            own = below.join(asked.withColumnRenamed("id", "s"), "s").select(F.col("v").alias("id"), (F.col("delta") * F.col("times")).alias("x"))
-            score = own if score is None else score.unionByName(own)
-    e.unpersist()
+        state = start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("sigma"))
+        state, _ = run(ws, state, forward, lambda k: F.col("level") == k, f"b{b}f")
+        deepest = state.agg(F.max("level")).first()[0] or 0
+        state = state.withColumn("delta", F.lit(0.0))
+        for i, k in enumerate(range(deepest, 1, -1), 1):  # sources themselves don't count, so level 0 needs nothing
+            state = backward(state, k)
+            if i % BLOCK == 0:
+                state = ws.save(state, f"b{b}d{k}")
+        own = ws.save(state.where("level > 0"), f"b{b}").join(asked.withColumnRenamed("id", "s"), "s").select(F.col("v").alias("id"), (F.col("delta") * F.col("times")).alias("x"))
+        score = own if score is None else score.unionByName(own)
+    out.unpersist()
+    back.unpersist()
     every = graph.vertices()
     if score is None:
         return every.withColumn("bc", F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..workspace import Workspace
+from .supersteps import parted, run, superstep
 
 
 def _trim(ws: Workspace, e: DataFrame, tag: str) -> tuple[DataFrame, int]:
@@ -28,17 +29,34 @@ def _trim(ws: Workspace, e: DataFrame, tag: str) -> tuple[DataFrame, int]:
 
 def _least_ahead(ws: Workspace, e: DataFrame, tag: str) -> DataFrame:
     """(id, colour): the least id from which each vertex on an edge can be reached, itself included."""
-    colour = ws.save(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")), f"{tag}c0")
-    front, k = colour, 0
-    while True:
-        k += 1
-        told = e.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("new"))
-        better, got = ws.save_counted(told.join(colour, "id").where("new < colour").select("id", F.col("new").alias("colour")), f"{tag}b{k}")
-        if not got["n"]:
-            return colour
-        colour = ws.save(colour.join(better, "id", "left_anti").unionByName(better), f"{tag}c{k}")
-        ws.drop(f"{tag}c{k - 1}")
-        front = better
+    own = parted(e, "src")
+    start = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("colour"), F.lit(True).alias("new"))
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("id") == F.col("src")) & F.col("new")
+        keep = F.struct("id", "colour", F.col("colour").alias("old"))
+        send = F.struct(F.col("dst").alias("id"), F.col("colour"), F.lit(None).cast("long").alias("old"))
+        got = superstep(state, own, on, keep, send, ["id"], [F.min("colour").alias("colour"), F.min("old").alias("old")])
+        return got.select("id", "colour", (F.col("colour") < F.col("old")).alias("new"))
+
+    colour, _ = run(ws, start, step, lambda k: F.col("new"), tag)
+    own.unpersist()
+    return colour.select("id", "colour")
+
+
+def _reaching_roots(ws: Workspace, inside: DataFrame, colour: DataFrame, tag: str) -> DataFrame:
+    """(id, colour) of vertices that reach their colour's root inside the colour; inside has edges turned round."""
+    own = parted(inside, "src")
+    start = colour.where("id = colour").select("id", "colour", F.lit(0).alias("met"))
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("id") == F.col("src")) & (F.col("met") == k)
+        send = F.struct(F.col("dst").alias("id"), F.col("colour"), F.lit(k + 1).alias("met"))
+        return superstep(state, own, on, F.struct("id", "colour", "met"), send, ["id"], [F.min("colour").alias("colour"), F.min("met").alias("met")])
+
+    found, _ = run(ws, start, step, lambda k: F.col("met") == k, tag)
+    own.unpersist()
+    return found.select("id", "colour")
 
 
 def strong_components(graph: Graph) -> DataFrame:
@@ -56,20 +74,11 @@ def strong_components(graph: Graph) -> DataFrame:
         e, n = _trim(ws, e, f"r{k}")
         if not n:
             break
-        colour = _least_ahead(ws, e, f"r{k}")
+        colour = _least_ahead(ws, e, f"r{k}c")
         a, b = (colour.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst"))
         coloured = e.join(a, "src").join(b, "dst")
-        inside = ws.save(coloured.where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("_src").alias("colour")), f"r{k}inside")
-        front = colour.where("id = colour")
-        back, j = front, 0
-        while True:
-            j += 1
-            step = inside.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"), "colour").distinct()
-            front, got = ws.save_counted(step.join(back, ["id", "colour"], "left_anti"), f"r{k}f{j}")
-            if not got["n"]:
-                break
-            back = back.unionByName(front)
-        own = ws.save(back, f"r{k}own")
+        inside = coloured.where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = _reaching_roots(ws, inside, colour, f"r{k}f")
         found.append(own)
         for end in ("src", "dst"):
             e = e.join(own.select(F.col("id").alias(end)), end, "left_anti")

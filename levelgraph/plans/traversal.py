@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import require_columns
 from ..graph import Graph
 from ..workspace import Workspace
+from .supersteps import parted, run, superstep
 
 #: What the distance of an unreachable vertex reads as, if asked for.
 UNREACHABLE = 2147483646
@@ -32,11 +33,26 @@ def bfs(graph: Graph, root: int = 0, edge_filter: Column | None = None, reverse:
     ws = Workspace(spark, "bfs")
     e = (graph.reverse() if reverse else graph).view
     e = (e if edge_filter is None else e.where(edge_filter)).select("src", "dst").distinct()
-    e = e.repartition("src").persist()
     front = spark.createDataFrame([(root, 0)], "id long, level int")
+    if on_level is not None:
+        return _visited(ws, e.persist(), front, on_level)
+    e = parted(e, "src")
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("id") == F.col("src")) & (F.col("level") == k)
+        keep, send = F.struct("id", "level"), F.struct(F.col("dst").alias("id"), F.lit(k + 1).alias("level"))
+        return superstep(state, e, on, keep, send, ["id"], [F.min("level").alias("level")])
+
+    found, _ = run(ws, front, step, lambda k: F.col("level") == k)
+    e.unpersist()
+    return found
+
+
+def _visited(ws: Workspace, e: DataFrame, front: DataFrame, on_level: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """As bfs, level by level, with a visitor between levels."""
     seen, level = front, 0
     while True:
-        walk = front if on_level is None else on_level(front, level)
+        walk = on_level(front, level)
         level += 1
         met = e.join(walk.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         new = met.join(seen, "id", "left_anti").select("id", F.lit(level).alias("level"))
@@ -64,7 +80,7 @@ def shortest_paths(graph: Graph, root: int = 0, weight: str | None = None, max_r
 
     Relaxation from the vertices that got nearer in the last round, until none did. Weights are added as doubles; an edge
     of null or NaN weight isn't walked. A negative cycle is told by a ValueError once more rounds have passed than there
-    are vertices, or than max_rounds.
+    are vertices, or than max_rounds, up to the end of a block of rounds.
     """
     _checked(graph, root)
     spark = graph.edges.sparkSession
@@ -75,24 +91,19 @@ def shortest_paths(graph: Graph, root: int = 0, weight: str | None = None, max_r
         require_columns(graph.edges, weight)
         w = F.col(weight).cast("double")
         e = graph.view.where(w.isNotNull() & ~F.isnan(w)).groupBy("src", "dst").agg(F.min(w).alias("w"))
-    e = e.repartition("src").persist()
-    front = spark.createDataFrame([(root, 0.0)], "id long, dist double")
-    dist, k = front, 0
-    limit = max_rounds or graph.max_nodes
-    while True:
-        k += 1
-        if k > limit:
-            raise ValueError("no end: there is a negative cycle, or max_rounds is too small")
-        step = e.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("w") + F.col("dist")).alias("dist"))
-        old = dist.withColumnRenamed("dist", "_old")
-        nearer, got = ws.save_counted(step.join(old, "id", "left").where("_old is null or dist < _old").select("id", "dist"), f"nearer{k}")
-        if not got["n"]:
-            e.unpersist()
-            return dist
-        dist = ws.save(dist.join(nearer, "id", "left_anti").unionByName(nearer), f"dist{k}")
-        if k > 1:
-            ws.drop(f"dist{k - 1}", f"nearer{k - 1}")
-        front = nearer
+    e = parted(e, "src")
+    start = spark.createDataFrame([(root, 0.0, True)], "id long, dist double, nearer boolean")
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        on = (F.col("id") == F.col("src")) & F.col("nearer")
+        keep = F.struct("id", "dist", F.col("dist").alias("old"))
+        send = F.struct(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
+        got = superstep(state, e, on, keep, send, ["id"], [F.min("dist").alias("dist"), F.min("old").alias("old")])
+        return got.select("id", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("nearer"))
+
+    dist, _ = run(ws, start, step, lambda k: F.col("nearer"), limit=max_rounds or graph.max_nodes)
+    e.unpersist()
+    return dist.select("id", "dist")
 
 
 def farthest(distances: DataFrame) -> DataFrame:
