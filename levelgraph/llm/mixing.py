@@ -28,10 +28,11 @@ def fill(total: float, weights: dict, room: dict) -> dict:
     able = {k for k, w in weights.items() if w > 0 and room[k] > 0}
     left = total
     while able and left > 1e-9:
-        unit = left / sum(weights[k] for k in able)
-        full = {k for k in able if given[k] + unit * weights[k] >= room[k]}
+        weight = sum(weights[k] for k in able)
+        part = {k: left * (weights[k] / weight) for k in able}
+        full = {k for k in able if given[k] + part[k] >= room[k]}
         for k in full or able:
-            more = room[k] - given[k] if full else unit * weights[k]
+            more = room[k] - given[k] if full else part[k]
             given[k] += more
             left -= more
         if not full:
