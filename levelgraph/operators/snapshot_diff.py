@@ -225,7 +225,8 @@ def snapshot_changes(
     ws = Workspace(spark, "snapshots")
     rows = ws.save(latest_snapshots(records).drop("weight"), "rows")
     every = Window.partitionBy(F.lit(0)).orderBy("snapshot_no")  # one row for each snapshot
-    sizes = rows.groupBy("snapshot_no").count()
+    there = records.where("snapshot_no is not null").select("snapshot_no").distinct()  # also those without content
+    sizes = there.join(rows.groupBy("snapshot_no").count(), "snapshot_no", "left").fillna(0, ["count"])
     steps = ws.save(
         sizes.select("snapshot_no", "count", F.lead("snapshot_no").over(every).alias("next_no"), (F.row_number().over(every) > 1).alias("has_previous")),
         "steps",
