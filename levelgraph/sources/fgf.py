@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .xs1 import _open
@@ -27,9 +28,13 @@ TYPES = {
     0x21: (">d", "double"),
 }
 _CODES = {name: code for code, (_, name) in TYPES.items()}
+_ARROW = {
+    "string": pa.string(), "boolean": pa.bool_(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(),
+    "float": pa.float32(), "double": pa.float64(),
+}
 
 
-class _Blocks(io.RawIOBase):
+class _Blocks:
     """The bytes inside an object stream's blocks; beyond the last one the file's own bytes follow."""
 
     def __init__(self, file):
@@ -158,30 +163,21 @@ def read_fgf(spark: SparkSession, address: str) -> tuple[DataFrame, DataFrame]:
     }
 
     def reader(want: str):
-        names = [n for n, _ in shapes[want] + props]
-        kinds = dict(shapes[want] + props)
-        whole = {"bigint": "Int64", "int": "Int32", "smallint": "Int16", "boolean": "boolean"}
-
-        def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                for place in p["path"]:
-                    with _open(place)[0].open_input_stream(_open(place)[1]) as f:
-                        held: list[dict] = []
-                        for row in _rows(f, want):
-                            held.append(row)
-                            if len(held) == 50_000:
-                                yield frame(held)
-                                held = []
-                        yield frame(held)
-
-        def frame(rows: list[dict]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            return out.astype({n: whole[kinds[n]] for n in names if kinds[n] in whole})
+        columns = shapes[want] + props
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for place in b.column(0).to_pylist():
+                    where, inside = _open(place)
+                    with where.open_input_stream(inside) as f:
+                        rows = _rows(f, want)
+                        while held := list(islice(rows, 50_000)):
+                            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], _ARROW[t]) for n, t in columns], names=[n for n, _ in columns])
 
         return read
 
     one = spark.createDataFrame([(address,)], "path string")
-    return tuple(one.mapInPandas(reader(w), schema(shapes[w])) for w in ("edges", "nodes"))
+    return tuple(one.mapInArrow(reader(w), schema(shapes[w])) for w in ("edges", "nodes"))
 
 
 def write_fgf(edges: pd.DataFrame, nodes: pd.DataFrame, types: dict[str, str], address: str) -> None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
 from ..graph import Graph
 
-_ALL = Window.partitionBy(F.lit(0))  # over histograms: a row for each bucket
+
+def _all() -> WindowSpec:
+    """Over histograms, which have a row for each bucket."""
+    return Window.partitionBy(F.lit(0))
 
 
 def degree_distribution(graph: Graph) -> DataFrame:
@@ -19,8 +22,8 @@ def degree_distribution(graph: Graph) -> DataFrame:
     d = F.greatest(F.col("out_degree"), F.lit(1))
     bucket = F.floor(F.log2(d) + F.lit(1e-12)).cast("int")
     rows = graph.out_degree().groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("out_degree").alias("degree_sum"))
-    upto = _ALL.orderBy("b")
-    share = lambda c, w: F.col(c) / F.sum(c).over(_ALL) if w is None else F.sum(c).over(w) / F.sum(c).over(_ALL)
+    upto = _all().orderBy("b")
+    share = lambda c, w: F.col(c) / F.sum(c).over(_all()) if w is None else F.sum(c).over(w) / F.sum(c).over(_all())
     return rows.select(
         F.when(F.col("b") == 0, 0).otherwise(F.pow(F.lit(2), "b")).cast("long").alias("low"),
         (F.pow(F.lit(2), F.col("b") + 1) - 1).cast("long").alias("high"),
@@ -36,8 +39,8 @@ def level_spread(graph: Graph) -> DataFrame:
     rows = per.groupBy("n_levels").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg("d").alias("mean_degree"))
     some = F.when(F.col("n_levels") > 0, F.col("n_nodes"))
     return rows.select(
-        "n_levels", "n_nodes", F.round(F.col("n_nodes") / F.sum("n_nodes").over(_ALL), 9).alias("share"),
-        F.round(some / F.sum(some).over(_ALL), 9).alias("share_nonzero"), F.round("mean_degree", 9).alias("mean_degree"),
+        "n_levels", "n_nodes", F.round(F.col("n_nodes") / F.sum("n_nodes").over(_all()), 9).alias("share"),
+        F.round(some / F.sum(some).over(_all()), 9).alias("share_nonzero"), F.round("mean_degree", 9).alias("mean_degree"),
     )
 
 
