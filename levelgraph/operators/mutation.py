@@ -79,6 +79,34 @@ class Delta:
             d = replace(d, new_edges=kept)
         return replace(d, gone_nodes=ids if d.gone_nodes is None else d.gone_nodes.unionByName(ids).distinct())
 
+    def apply(self, log: DataFrame) -> Delta:
+        """The delta with a log of operations (op, src, dst, properties), taken kind by kind.
+
+        op is delete_node (src), delete_edge (all visible edges from src to dst), add_edge, add_edge_if_absent,
+        add_weighted or add_node (src). Deletions come first, then additions in that order; ValueError for another op.
+        """
+        require_columns(log, "op", "src", "dst")
+        known = ["delete_node", "delete_edge", "add_edge", "add_edge_if_absent", "add_weighted", "add_node"]
+        other = log.where(~F.col("op").isin(known) | F.col("op").isNull()).select("op").take(1)
+        if other:
+            raise ValueError(f"unknown operation {other[0].op}")
+        used = {r.op for r in log.select("op").distinct().collect()}  # at most the six known ones
+        of = lambda op: log.where(F.col("op") == op).drop("op")
+        d = self
+        if "delete_node" in used:
+            d = d.delete_nodes(of("delete_node").select(F.col("src").alias("id")))
+        if "delete_edge" in used:
+            d = d.delete_edges(d.base.view.join(of("delete_edge").select("src", "dst").distinct(), ["src", "dst"], "left_semi"))
+        if "add_edge" in used:
+            d = d.add_edges(of("add_edge"))
+        if "add_edge_if_absent" in used:
+            d = d.add_edges_if_absent(of("add_edge_if_absent"))
+        if "add_weighted" in used:
+            d = d.add_weighted(of("add_weighted").select("src", "dst"))
+        if "add_node" in used:
+            d = d.add_nodes(of("add_node").withColumnRenamed("src", "id").drop("dst"))
+        return d
+
     # reading
 
     def _numbered(self) -> DataFrame | None:

@@ -234,6 +234,32 @@ def add_edge_if_absent(spark, d):
     return Delta(g).add_edges_if_absent(g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).new_edges.select("src", "dst")
 
 
+@add("operation_log", f"""with {EV}, gone as (select * from ev where not (src % 11 = 3 and dst % 5 = 1) and src % 50 <> 7 and dst % 50 <> 7)
+select src, dst, count(*) as n from (select src, dst from gone union all select distinct dst, src from ev where src % 13 = 2) group by 1, 2""")
+def operation_log(spark, d):
+    from ..operators.mutation import Delta
+
+    g = g_ev(spark, d)
+    plain = Graph(g.edges.drop("weight"))
+    edges = plain.view.select("src", "dst")
+    log = edges.where("src % 11 = 3 and dst % 5 = 1").select(F.lit("delete_edge").alias("op"), "src", "dst")
+    log = log.unionByName(g.vertices().where("id % 50 = 7").select(F.lit("delete_node").alias("op"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst")))
+    log = log.unionByName(edges.where("src % 13 = 2").distinct().select(F.lit("add_edge").alias("op"), F.col("dst").alias("src"), F.col("src").alias("dst")))
+    after = Delta(plain).apply(log).checkpoint()
+    return after.view.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("xs1_sidecars", f"with {CP} select {_N_CP} as vertices, count(*) as edges from cp")
+def xs1_sidecars(spark, d):
+    from ..sources.xs1 import read_ini, write_xs1
+    from ..workspace import Workspace
+
+    path = Workspace(spark, "files").path("edges.xs1")
+    write_xs1(g_cp(spark, d).edges, path)
+    ini = read_ini(path)
+    return spark.range(1).select(*[F.lit(int(ini[k])).cast("long").alias(k) for k in ("vertices", "edges")])
+
+
 # tools
 
 _LOG = "greatest(d, 1)"

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelgraph import Graph
+from levelgraph.graph import edge_id, level_of
 from levelgraph.operators import transform
 from levelgraph.operators.mutation import Delta, delete_by_visible_level, set_edge_property
 from levelgraph.plans.ordering import with_row_number
@@ -139,6 +140,23 @@ def test_additions(spark):
     assert pairs(delete_by_visible_level(g, ids, 1).at(1)) == [(1, 2)] and len(pairs(delete_by_visible_level(g, ids, 1).at(0))) == 2
 
 
+def test_log_of_operations(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 0)])
+    log = spark.createDataFrame(
+        [("delete_edge", 0, 1), ("delete_edge", 0, 1), ("delete_edge", 9, 9), ("delete_node", 3, None), ("add_edge", 0, 5), ("add_edge_if_absent", 1, 2), ("add_edge_if_absent", 2, 1)],
+        "op string, src long, dst long",
+    )
+    assert pairs(Delta(g).apply(log).checkpoint()) == [(0, 5), (1, 2), (2, 1)]
+    assert pairs(Delta(g).apply(log.limit(0)).merged()) == pairs(g)
+    with pytest.raises(ValueError):
+        Delta(g).apply(spark.createDataFrame([("burn", 1, 2)], "op string, src long, dst long"))
+
+
+def test_handles(spark):
+    e = spark.createDataFrame([(5, 77)], "l int, n long").select(edge_id(F.col("l"), F.col("n")).alias("e"))
+    assert e.select(level_of(F.col("e"))).first()[0] == 5
+
+
 def test_store(spark, tmp_path):
     g = graph(spark, [(0, 1, 0), (1, 2, 1), (2, 3, 2)], [(0, 0, 20), (0, 1, 21), (1, 1, 30), (0, 2, 22)])
     store = Store(spark, str(tmp_path / "db"))
