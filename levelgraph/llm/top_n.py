@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
@@ -95,8 +94,8 @@ def top_n_of_files(spark, addresses: list[str], schema, n: int) -> DataFrame:
                         more = [pa.array(np.full(k, x, np.int32)) for x in (read, there)]
                         yield pa.RecordBatch.from_arrays(cols + more, names=["grp", "item", "score", "row_groups_read", "row_groups"])
 
-    listed = spark.createDataFrame(pd.DataFrame({"address": addresses}, dtype=object), "address string")
-    each = listed.repartition(max(1, len(addresses)), "address") if len(addresses) > 1 else listed
+    listed = spark.createDataFrame(list(enumerate(addresses)), "k int, address string")
+    each = listed.repartitionByRange(max(1, len(addresses)), "k").select("address")  # a file for each task
     return each.mapInArrow(run, _READ.format(g=kinds["grp"], i=kinds["item"]))
 
 
