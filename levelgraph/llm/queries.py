@@ -39,12 +39,23 @@ def p3_frequent_counts(spark, sf_dir):
     return _frequent(spark, sf_dir).select("field_name", "item", "n_rows")
 
 
-@registry.add("p4_found")
+_GROUPS = """
+with recursive e as (select tail as a, head as b from xs1_match where tail is not null and head is not null
+    union select head, tail from xs1_match where tail is not null and head is not null),
+n as (select tail as id from xs1_match where tail is not null union select head from xs1_match where head is not null),
+reach(id, r) as (select id, id from n union select reach.id, b from reach join e on a = r)
+select min(r) as group_id, id as node from reach group by id"""
+
+
+@registry.add("p4_found", _GROUPS)
 def p4_found(spark, sf_dir):
     return connected_groups(table(spark, sf_dir, "xs1_match"))
 
 
-@registry.add("p4_group_sizes")
+@registry.add(
+    "p4_group_sizes",
+    f"select n_nodes, count(*) as n_groups from (select group_id, count(*) as n_nodes from ({_GROUPS}) group by 1) group by 1",
+)
 def p4_group_sizes(spark, sf_dir):
     """How many groups there are of each size."""
     sizes = connected_groups(table(spark, sf_dir, "xs1_match")).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_nodes"))
