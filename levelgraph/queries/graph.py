@@ -173,7 +173,7 @@ def split_parts(spark, d):
     return parts[0].select(F.lit(0).alias("part"), "src", "dst").unionByName(parts[1].select(F.lit(1).alias("part"), "src", "dst")).unionByName(parts[2].select(F.lit(2).alias("part"), "src", "dst"))
 
 
-@add("shuffled_edges")
+@add("shuffled_edges", f"with {EV} select src, dst, edge_id from ev")
 def shuffled_edges(spark, d):
     return transform.shuffle_edges(g_ev(spark, d).edges.select("src", "dst", "edge_id"), seed=5)
 
@@ -218,7 +218,7 @@ def flatten_levels(spark, d):
 @add("snapshot_diff", f"""with {EV}, {_DEL}, a as (select src, dst from gone where created_level <= 3 and (deleted_level is null or deleted_level > 3)),
 b as (select src, dst from gone where created_level <= 6 and (deleted_level is null or deleted_level > 6)),
 x as (select src, dst, sum(k) as n from (select src, dst, 1 as k from a union all select src, dst, -1 from b) group by 1, 2)
-select case when n > 0 then 'second' else 'first' end as missing_in, src, dst, abs(n) as n from x where n <> 0""")
+select case when n > 0 then 'second' else 'first' end as missing_in, src, dst, abs(n)::bigint as n from x where n <> 0""")
 def snapshot_diff(spark, d):
     g = deleted_every(g_ev(spark, d), 10)
     plain = Graph(g.edges.drop("weight"))
