@@ -343,6 +343,11 @@ def pagerank_push(spark, d):
     return pagerank.pagerank(g_ev_mod(spark, d, 17), single=True).withColumn("rank", F.round(F.col("rank").cast("double"), 6))
 
 
+@add("pagerank_push_whole", _rank_sql(XS, "xs", 10, 6))
+def pagerank_push_whole(spark, d):
+    return pagerank.pagerank(g_xs(spark, d), single=True).withColumn("rank", F.round(F.col("rank").cast("double"), 6))
+
+
 @add("pagerank_double", _rank_sql(CP, "cp", 10, 12))
 def pagerank_double(spark, d):
     return pagerank.pagerank(g_cp(spark, d)).withColumn("rank", F.round("rank", 12))
@@ -423,7 +428,50 @@ def sssp_weighted_max(spark, d):
 
 @add("dfs_order")
 def dfs_order(spark, d):
-    return traversal.dfs(*_root17(spark, d))
+    return traversal.dfs(*_root_xs(spark, d))
+
+
+# The searches above, whose SQL is over every 17th edge or so, on all edges of a table
+
+
+def _root_xs(spark, d):
+    g = g_xs(spark, d)
+    return g, g.view.agg(F.min("src")).first()[0]
+
+
+_LEV_XS = _levels_sql(XS, "xs", "(select min(src) from xs)", 40)
+
+
+@add("bfs_levels_whole", _LEV_XS)
+def bfs_levels_whole(spark, d):
+    return traversal.bfs(*_root_xs(spark, d))
+
+
+@add("bfs_count_whole", f"select count(*) as n_reached from ({_LEV_XS})")
+def bfs_count_whole(spark, d):
+    return traversal.bfs_count(*_root_xs(spark, d))
+
+
+@add("bfs_reverse_whole", _levels_sql(f"{XS}, rev as (select dst as src, src as dst from xs)", "rev", "(select min(dst) from xs)", 40))
+def bfs_reverse_whole(spark, d):
+    g = g_xs(spark, d)
+    return traversal.bfs(g, g.view.agg(F.min("dst")).first()[0], reverse=True)  # the least source may have no in-edges
+
+
+@add("bfs_down_edges_whole", f"with lev as ({_LEV_XS}), {XS} select src, dst, a.level from xs join lev a on a.id = src join lev b on b.id = dst where b.level = a.level + 1")
+def bfs_down_edges_whole(spark, d):
+    g, root = _root_xs(spark, d)
+    return traversal.down_edges(g, traversal.bfs(g, root))
+
+
+@add("sssp_unweighted_whole", f"select id, level::double as dist from ({_LEV_XS})")
+def sssp_unweighted_whole(spark, d):
+    return traversal.bfs(*_root_xs(spark, d)).select("id", F.col("level").cast("double").alias("dist"))
+
+
+@add("sssp_unweighted_iter_whole", f"select id, level::double as dist from ({_LEV_XS})")
+def sssp_unweighted_iter_whole(spark, d):
+    return traversal.shortest_paths(*_root_xs(spark, d))
 
 
 def _bc_sql(edges: str, name: str, sources: str, deepest: int) -> str:
