@@ -503,10 +503,15 @@ def bc_random(spark, d):
     return bc.betweenness(g, own.where("id % 7 = 1").unionByName(own.where("id % 14 = 1"))).withColumn("bc", F.round("bc", 6))
 
 
+@add("bc_adj_whole")
+def bc_adj_whole(spark, d):
+    return bc.betweenness(g_ev(spark, d)).withColumn("bc", F.round("bc", 6))
+
+
 @add("bc_random_drawn")
 def bc_random_drawn(spark, d):
-    g = g_ev_mod(spark, d, 29)
-    return bc.betweenness(g, bc.drawn_sources(g, 20, seed=1))
+    g = g_ev(spark, d)
+    return bc.betweenness(g, bc.drawn_sources(g, 100, seed=1))
 
 
 def _scc_sql(edges: str, name: str) -> str:

@@ -1,17 +1,22 @@
 """Registered queries over a small table of edges, against brute force over all of its edges."""
 
 import math
+import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import pytest
 
 import __spark_entry__
+from levelgraph.plans import betweenness
+from levelgraph.queries.projections import g_ev
 
 from .conftest import rows
 from .test_analyses import brute_bfs, scattered
 
 EDGES = [(a + 2, b + 2) for a, b in scattered(40, 110, 11)]
 EDGES += EDGES[:25] + EDGES[:5] + [(3, 3)]
+USERS = random.Random(4).choices(range(15), k=60) + [0, 15]
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +25,28 @@ def folder(spark, tmp_path_factory):
     made = [(i, a, b, 1.0, i % 8) for i, (a, b) in enumerate(EDGES)] + [(900, None, 1, 1.0, 0), (901, 1, None, 1.0, 0)]
     spark.createDataFrame(made, "rec_no long, tail long, head long, weight float, created_level int").write.parquet(f"{d}/xs1.parquet")
     spark.createDataFrame([], "id long, level int, age int, node_kind string").write.parquet(f"{d}/nodes.parquet")
+    seen = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), u, 1.0) for i, u in enumerate(USERS)]
+    spark.createDataFrame(seen, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{d}/events.parquet")
     return d
 
 
+def brute_bc(edges, n, sources):
+    """Shares of the shortest paths between each source and each other vertex, from the numbers of paths of all pairs."""
+    m, far = Counter(edges), [brute_bfs(edges, v) for v in range(n)]
+    paths = [[0] * n for _ in range(n)]
+    for s in range(n):
+        paths[s][s] = 1
+        for v in sorted(far[s], key=far[s].get)[1:]:
+            paths[s][v] = sum(paths[s][u] * k for (u, w), k in m.items() if w == v and far[s].get(u) == far[s][v] - 1)
+    bc = [0.0] * n
+    for s in sources:
+        for v in far[s]:
+            for t in far[v]:
+                if v != s and t != v and far[s][v] + far[v][t] == far[s][t]:
+                    bc[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    return bc
+
+
 def query(spark, folder, name):
     return __spark_entry__.queries()[name](spark, folder)
 
@@ -65,3 +89,16 @@ def test_pushed_ranks_count_parallel_edges(spark, folder):
         r = new
     got = dict(rows(query(spark, folder, "pagerank_push_whole")))
     assert len(got) == n and all(math.isclose(got[i], r[i], abs_tol=2e-6) for i in range(n))
+
+
+def test_betweenness_uses_every_edge(spark, folder):
+    edges = list(zip(USERS, USERS[1:]))
+    n = 1 + max(USERS)
+    assert len(set(edges)) < len(edges)
+    got = dict(rows(query(spark, folder, "bc_adj_whole")))
+    assert len(got) == n and all(math.isclose(got[i], x, abs_tol=1e-6) for i, x in enumerate(brute_bc(edges, n, range(n))))
+    drawn = [i for (i,) in rows(betweenness.drawn_sources(g_ev(spark, folder), 100, seed=1))]
+    assert len(drawn) == 100
+    want = brute_bc(edges, n, drawn)
+    got = dict(rows(query(spark, folder, "bc_random_drawn")))
+    assert len(got) == n and all(math.isclose(got[i], x, abs_tol=1e-6) for i, x in enumerate(want))
