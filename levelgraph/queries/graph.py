@@ -530,6 +530,16 @@ def scc_many(spark, d):
     return components.strong_components(g_ev_mod(spark, d, 29))
 
 
+@add("tarjan_scc_whole")
+def tarjan_scc_whole(spark, d):
+    return components.strong_components(g_xs(spark, d))
+
+
+@add("scc_many_whole")
+def scc_many_whole(spark, d):
+    return components.strong_components(g_cp(spark, d))
+
+
 _TRI = f"""with {CP}, e as (select distinct least(src, dst) as a, greatest(src, dst) as b from cp where src <> dst)
 select count(*) as n_triangles from e x join e y on y.a = x.a and y.b > x.b join e z on z.a = x.b and z.b = y.b"""
 

@@ -27,6 +27,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([], "id long, level int, age int, node_kind string").write.parquet(f"{d}/nodes.parquet")
     seen = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), u, 1.0) for i, u in enumerate(USERS)]
     spark.createDataFrame(seen, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{d}/events.parquet")
+    orders = [(k, a) for k, (a, _) in enumerate(EDGES)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
+    lines = [(k, b, 1, 1.0) for k, (_, b) in enumerate(EDGES)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
     return d
 
 
@@ -102,3 +106,11 @@ def test_betweenness_uses_every_edge(spark, folder):
     want = brute_bc(edges, n, drawn)
     got = dict(rows(query(spark, folder, "bc_random_drawn")))
     assert len(got) == n and all(math.isclose(got[i], x, abs_tol=1e-6) for i, x in enumerate(want))
+
+
+def test_components_use_every_edge(spark, folder):
+    reach = {v: set(brute_bfs(EDGES, v)) for v in range(1 + max(max(e) for e in EDGES))}
+    want = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
+    assert 2 < len(set(want.values())) < len(want)
+    assert dict(rows(query(spark, folder, "tarjan_scc_whole"))) == want
+    assert dict(rows(query(spark, folder, "scc_many_whole"))) == want
