@@ -13,6 +13,16 @@ def _canonical(graph: Graph) -> DataFrame:
     return graph.view.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+def _ahead(e: DataFrame) -> DataFrame:
+    """(x, y, other columns) of distinct edges (a, b, ...): each oriented from lower to higher (degree, id)."""
+    degree = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    da, db = degree.select(F.col("id").alias("a"), F.col("d").alias("da")), degree.select(F.col("id").alias("b"), F.col("d").alias("db"))
+    up = F.struct("da", "a") < F.struct("db", "b")
+    both = e.join(da, "a").join(db, "b")
+    more = [c for c in e.columns if c not in ("a", "b")]
+    return both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"), *more)
+
+
 def triangles(graph: Graph) -> DataFrame:
     """(n_triangles): triangles of the simple undirected graph; loops, parallel and reciprocal edges don't add any.
 
@@ -20,23 +30,23 @@ def triangles(graph: Graph) -> DataFrame:
     the edges ahead of it, however many neighbours it has; two of those are joined, and the third looked up.
     """
     e = _canonical(graph)
-    degree = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    da, db = degree.select(F.col("id").alias("a"), F.col("d").alias("da")), degree.select(F.col("id").alias("b"), F.col("d").alias("db"))
-    up = F.struct("da", "a") < F.struct("db", "b")
-    both = e.join(da, "a").join(db, "b")
-    one = both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    one = _ahead(e)
     two = one.select(F.col("x"), F.col("y").alias("z"))
     wedges = one.join(two, "x").where("y < z").select(F.col("y").alias("a"), F.col("z").alias("b"))
     return wedges.join(e, ["a", "b"]).agg(F.count(F.lit(1)).alias("n_triangles"))
 
 
 def triangles_doubled(graph: Graph) -> DataFrame:
-    """(n_triangles): on a doubled graph, with parallel edges multiplied: each triple of edges counts."""
-    m = graph.view.where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    uv = m.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("m").alias("m1"))
-    uw = m.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.col("m").alias("m2"))
-    vw = m.select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("m").alias("m3"))
-    found = uv.join(uw, "u").where("v < w").join(vw, ["v", "w"])
+    """(n_triangles): on a doubled graph, with parallel edges multiplied: each triple of edges counts.
+
+    Wedges are joined as in triangles, from edges oriented by (degree, id).
+    """
+    m = graph.view.where("src < dst").groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    one = _ahead(m)
+    xy = one.select("x", "y", F.col("m").alias("m1"))
+    xz = one.select("x", F.col("y").alias("z"), F.col("m").alias("m2"))
+    wedges = xy.join(xz, "x").where("y < z").select(F.col("y").alias("a"), F.col("z").alias("b"), "m1", "m2")
+    found = wedges.join(m.withColumnRenamed("m", "m3"), ["a", "b"])
     return found.agg(F.coalesce(F.sum(F.col("m1") * F.col("m2") * F.col("m3")), F.lit(0)).alias("n_triangles"))
 
 

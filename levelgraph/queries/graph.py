@@ -561,6 +561,13 @@ def triangle_count_u(spark, d):
     return triangles.triangles_doubled(Graph(transform.undirected_double(g_ev_mod(spark, d, 17).edges)))
 
 
+@add("triangle_count_u_whole", f"""with {XS}, u as (select src, dst from xs union all select dst, src from xs where src <> dst),
+m as (select src, dst, count(*) as m from u where src < dst group by 1, 2)
+select coalesce(sum(x.m * y.m * z.m), 0)::bigint as n_triangles from m x join m y on y.src = x.src and y.dst > x.dst join m z on z.src = x.dst and z.dst = y.dst""")
+def triangle_count_u_whole(spark, d):
+    return triangles.triangles_doubled(Graph(transform.undirected_double(g_xs(spark, d).edges)))
+
+
 _AGE = "ages as (select id, coalesce(age, 0) as age from range((select max(greatest(src, dst)) + 1 from xs)) v(id) left join (select distinct on (id) id, age from nodes order by id, level desc, age desc nulls last) n using (id))"
 
 

@@ -8,11 +8,12 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__
-from levelgraph.plans import betweenness
+from levelgraph.plans import betweenness, triangles
 from levelgraph.queries.projections import g_ev
 
 from .conftest import rows
 from .test_analyses import brute_bfs, scattered
+from .test_graph import graph
 
 EDGES = [(a + 2, b + 2) for a, b in scattered(40, 110, 11)]
 EDGES += EDGES[:25] + EDGES[:5] + [(3, 3)]
@@ -114,3 +115,19 @@ def test_components_use_every_edge(spark, folder):
     assert 2 < len(set(want.values())) < len(want)
     assert dict(rows(query(spark, folder, "tarjan_scc_whole"))) == want
     assert dict(rows(query(spark, folder, "scc_many_whole"))) == want
+
+
+def test_doubled_triangles_use_every_edge(spark, folder):
+    m = Counter((min(e), max(e)) for e in EDGES if e[0] != e[1])
+    n = 1 + max(max(e) for e in EDGES)
+    want = sum(m[a, b] * m[a, c] * m[b, c] for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n))
+    assert want > 0 and max(m.values()) > 2
+    assert rows(query(spark, folder, "triangle_count_u_whole")) == [(want,)]
+
+
+def test_a_hub_of_low_id_makes_no_wedges(spark):
+    star = spark.range(1, 30_001).selectExpr("0L as src", "id as dst")
+    ahead = triangles._ahead(star.withColumnsRenamed({"src": "a", "dst": "b"}))
+    assert ahead.groupBy("x").count().where("count > 1").count() == 0
+    g = graph(spark, [(0, i) for i in range(1, 9)] + [(1, 2), (1, 2), (0, 1)])
+    assert rows(triangles.triangles_doubled(g)) == [(4,)]
