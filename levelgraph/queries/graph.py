@@ -78,6 +78,16 @@ def find_edge(spark, d):
     return g.find(m.select(F.col("tail").alias("src"), F.col("head").alias("dst")).unionByName(g.edges.where("src % 5 = 0").select("src", "dst")))
 
 
+@add("find_edge_whole", f"""with {XS}, asked as (select distinct tail as src, head as dst from xs1_match where tail is not null and head is not null
+        union select distinct src, dst from xs)
+select a.src, a.dst, max_by(rec_no, (created_level, rec_no)) as edge_id, max(created_level) as created_level
+from asked a left join xs on xs.src = a.src and xs.dst = a.dst group by 1, 2""")
+def find_edge_whole(spark, d):
+    g = g_xs(spark, d)
+    m = table(spark, d, "xs1_match").where("tail is not null and head is not null")
+    return g.find(m.select(F.col("tail").alias("src"), F.col("head").alias("dst")).unionByName(g.edges.select("src", "dst")))
+
+
 @add("out_neighbours", f"with {XS} select src as id, dst as neighbour, created_level from xs where src in (select id from nodes)")
 def out_neighbours(spark, d):
     return g_xs(spark, d).out_neighbours(table(spark, d, "nodes"))

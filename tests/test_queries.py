@@ -32,6 +32,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{d}/orders.parquet")
     lines = [(k, b, 1, 1.0) for k, (_, b) in enumerate(EDGES)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+    matched = [(2, 3), (3, 2), (70, 71), (None, 2)]
+    spark.createDataFrame(matched, "tail long, head long").write.parquet(f"{d}/xs1_match.parquet")
     return d
 
 
@@ -131,3 +133,12 @@ def test_a_hub_of_low_id_makes_no_wedges(spark):
     assert ahead.groupBy("x").count().where("count > 1").count() == 0
     g = graph(spark, [(0, i) for i in range(1, 9)] + [(1, 2), (1, 2), (0, 1)])
     assert rows(triangles.triangles_doubled(g)) == [(4,)]
+
+
+def test_every_edge_is_found(spark, folder):
+    want = {(2, 3): (None, None), (3, 2): (None, None), (70, 71): (None, None)}
+    for e in EDGES:
+        level, best = max((k % 8, k) for k, other in enumerate(EDGES) if other == e)
+        want[e] = (best, level)
+    got = rows(query(spark, folder, "find_edge_whole"), "src", "dst", "edge_id", "created_level")
+    assert got == sorted((*k, *v) for k, v in want.items())
