@@ -113,6 +113,14 @@ def adjacency_print(spark, d):
     return g_ev(spark, d).adjacency(0, 50).select("id", F.array_join("out", " ").alias("out_list"), F.array_join("in", " ").alias("in_list"))
 
 
+@add("adjacency_print_whole", f"""with {EV}, o as (select src as id, list_sort(list(dst)) as o from ev group by 1), i as (select dst as id, list_sort(list(src)) as i from ev group by 1)
+select v.id, coalesce(array_to_string(o, ' '), '') as out_list, coalesce(array_to_string(i, ' '), '') as in_list
+from range((select max(greatest(src, dst)) + 1 from ev)) v(id) left join o using (id) left join i using (id)""")
+def adjacency_print_whole(spark, d):
+    g = g_ev(spark, d)
+    return g.adjacency(0, g.max_nodes - 1).select("id", F.array_join("out", " ").alias("out_list"), F.array_join("in", " ").alias("in_list"))
+
+
 @add("random_nodes")
 def random_nodes(spark, d):
     return g_cp(spark, d).random_nodes(20, seed=7)

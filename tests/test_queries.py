@@ -17,7 +17,7 @@ from .test_graph import graph
 
 EDGES = [(a + 2, b + 2) for a, b in scattered(40, 110, 11)]
 EDGES += EDGES[:25] + EDGES[:5] + [(3, 3)]
-USERS = random.Random(4).choices(range(15), k=60) + [0, 15]
+USERS = random.Random(4).choices(range(15), k=60) + [0, 60]
 
 
 @pytest.fixture(scope="module")
@@ -142,3 +142,10 @@ def test_every_edge_is_found(spark, folder):
         want[e] = (best, level)
     got = rows(query(spark, folder, "find_edge_whole"), "src", "dst", "edge_id", "created_level")
     assert got == sorted((*k, *v) for k, v in want.items())
+
+
+def test_every_id_is_printed(spark, folder):
+    edges = list(zip(USERS, USERS[1:]))
+    lists = lambda v, here, there: " ".join(map(str, sorted(e[there] for e in edges if e[here] == v)))
+    assert max(USERS) > 50
+    assert rows(query(spark, folder, "adjacency_print_whole")) == [(v, lists(v, 0, 1), lists(v, 1, 0)) for v in range(max(USERS) + 1)]
