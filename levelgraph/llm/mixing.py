@@ -58,6 +58,10 @@ def budgets(leaves: dict[tuple[str, ...], tuple[float, float]], total: float) ->
     return down(sorted(leaves), 0, total) if leaves else {}
 
 
+#: As total_tokens: as many tokens as the documents of sources with a target have, each used once.
+AVAILABLE = "available"
+
+
 def largest_total(leaves: dict[tuple[str, ...], tuple[float, float]]) -> float:
     """The largest total at which every leaf that has room at all gets its weight and its part of what others lack."""
     endless = {p: (w, math.inf if r > 0 else 0.0) for p, (w, r) in leaves.items()}
@@ -74,7 +78,7 @@ def spelled(c: Column) -> Column:
 def mix(
     documents: DataFrame,
     targets: DataFrame,
-    total_tokens: int | None = None,
+    total_tokens: int | str | None = None,
     domains: dict[str, str] | None = None,
     seed: int = 1,
     vocabulary: str = VOCABULARY,
@@ -87,7 +91,8 @@ def mix(
     target_share, max_repeat, n_documents, available_tokens, n_uses, most_uses, tokens, reached_share (of all tokens of
     the mixture).
 
-    Without total_tokens the mixture is the largest in which every source that has documents reaches its share. A
+    Without total_tokens the mixture is the largest in which every source that has documents reaches its share; with a
+    number, or AVAILABLE, sources that run short leave the rest to others, and the report tells the shares reached. A
     source's share goes to its languages in proportion to their tokens; that of a source without documents goes to the
     other sources of its domain (``domains``: source -> name, else all are of one), or if there are none, to the other
     domains. A leaf's last epoch ends with the
@@ -119,6 +124,8 @@ def mix(
     for r in stats:
         w, repeat = goals[r.source]
         leaves[(named.get(r.source, "all"), r.source, r.lang)] = (w * r.tokens / whole[r.source], float(r.tokens * repeat))
+    if total_tokens == AVAILABLE:
+        total_tokens = sum(whole.values())
     total = float(total_tokens) if total_tokens is not None else largest_total(leaves)
     given = {p[1:]: b for p, b in budgets(leaves, total).items()}
     first = _select(docs, _plan(stats, goals, given), seed)

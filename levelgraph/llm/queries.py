@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..queries import Registry, table
 from .components import connected_groups
 from .frequent_items import frequent_items
-from .mixing import mix
+from .mixing import AVAILABLE, mix
 from .packing import fill_report, pack
 from .readability import reading_levels
 from .top_n import top_n_per_group
@@ -116,6 +116,16 @@ def p7_shares(spark, sf_dir):
     return _mix(spark, sf_dir)[1]
 
 
+@registry.add("p7_mixture_available")
+def p7_mixture_available(spark, sf_dir):
+    return _mix(spark, sf_dir, total_tokens=AVAILABLE)[0]
+
+
+@registry.add("p7_shares_available")
+def p7_shares_available(spark, sf_dir):
+    return _mix(spark, sf_dir, total_tokens=AVAILABLE)[1]
+
+
 def _levels(spark, sf_dir):
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
