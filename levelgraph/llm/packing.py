@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity: bulk-synchronous best-fit over runs of equal sizes.
 
 Items are ranked within their size, so that equal items are one run (size, first rank, number), and containers with equal
-gaps are another. A superstep range-sorts both runs in descending order and sweeps them: each item run takes the smallest
+gaps are another. A superstep sorts both runs in descending order and sweeps them: each item run takes the smallest
 gaps that hold it (its successors), ranks settle which item goes into which container, gaps shrink, and the next round
 begins; items that no gap holds open new containers. The runs are as many as there are different sizes, which the capacity
-bounds, and not as many as documents; documents are touched to be counted and to be given their container.
+bounds, and not as many as documents; so all rounds of a capacity are sorted and swept in one task, without range parts,
+and only above SHARE_RUNS sizes for each capacity in several tasks that are swept apart. Documents are touched to be
+counted, ranked and given their container, which is distributed.
 """
 
 from __future__ import annotations
