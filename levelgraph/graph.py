@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +37,8 @@ def level_of(edge: Column) -> Column:
 class Graph:
     """edges: src, dst, created_level, deleted_level, edge_id and properties; nodes: id, level and properties, a row for
     each version. Ids are longs from 0; rows are a bag. Every method gives a new lazy plan; a missing column is told by a
-    ValueError. ``named`` holds further edge tables.
+    ValueError. ``named`` holds further edge tables; ``declared`` (id, level, deleted_level) nodes that are there without
+    edges; ``levels`` is how many levels there are at least, as one may have no edges.
     """
 
     edges: DataFrame
@@ -45,6 +46,8 @@ class Graph:
     named: dict[str, DataFrame] = field(default_factory=dict)
     level: int | None = None
     min_level: int | None = None
+    declared: DataFrame | None = None
+    levels: int = 0
 
     def __post_init__(self) -> None:
         require_columns(self.edges, "src", "dst")
@@ -62,18 +65,18 @@ class Graph:
 
     def at(self, level: int) -> Graph:
         """The graph as it was at the end of a level."""
-        return Graph(self.edges, self.nodes, self.named, level, self.min_level)
+        return replace(self, level=level)
 
     def window(self, min_level: int, level: int) -> Graph:
         """As ``at``, without edges created before min_level. A window only moves forward."""
         if min_level > level or (self.min_level is not None and min_level < self.min_level):
             raise ValueError("a window starts at or before its level, and doesn't move back")
-        return Graph(self.edges, self.nodes, self.named, level, min_level)
+        return replace(self, level=level, min_level=min_level)
 
     def reverse(self) -> Graph:
         """Every edge turned round; edge ids stay."""
         turned = self.edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
-        return Graph(turned, self.nodes, self.named, self.level, self.min_level)
+        return replace(self, edges=turned)
 
     def within_level(self, level: int) -> DataFrame:
         """Visible edges that were created in one level."""
@@ -87,14 +90,17 @@ class Graph:
 
     @cached_property
     def max_nodes(self) -> int:
-        """One more than the greatest id on any edge, deleted ones too; never shrinks."""
-        most = self.edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+        """One more than the greatest id on any edge or of a declared node, deleted ones too; never shrinks."""
+        ids = self.edges.select(F.greatest("src", "dst").alias("id"))
+        if self.declared is not None:
+            ids = ids.unionByName(self.declared.select("id"))
+        most = ids.agg(F.max("id")).first()[0]
         return 0 if most is None else most + 1
 
     @cached_property
     def num_levels(self) -> int:
         top = self.edges.agg(F.max("created_level")).first()[0]
-        return 0 if top is None else top + 1
+        return max(self.levels, 0 if top is None else top + 1)
 
     def vertices(self) -> DataFrame:
         """All ids from 0 to max_nodes - 1, isolated ones too."""
@@ -121,9 +127,13 @@ class Graph:
         return self._degree("dst", "in_degree")
 
     def existing(self) -> DataFrame:
-        """Ids with a visible edge, in or out."""
-        ends = F.explode(F.array("src", "dst")).alias("id")
-        return self.view.select(ends).distinct()
+        """Ids with a visible edge, in or out, and declared nodes."""
+        ends = self.view.select(F.explode(F.array("src", "dst")).alias("id"))
+        if self.declared is not None:
+            gone = F.col("deleted_level")
+            there = gone.isNull() if self.level is None else (F.col("level") <= self.level) & (gone.isNull() | (gone > self.level))
+            ends = ends.unionByName(self.declared.where(there).select("id"))
+        return ends.distinct()
 
     def top_degree(self, k: int) -> DataFrame:
         """The k nodes of greatest out-degree, the smaller id first among equals: node, degree, rank."""

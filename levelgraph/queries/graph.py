@@ -11,7 +11,7 @@ from ..plans import components, pagerank, traversal, triangles
 from ..streaming import windows
 from ..tools import inspect
 from . import Registry, table
-from .projections import CH, CP, EV, EV17, EV29, XS, deleted_every, g_ch, g_cp, g_ev, g_ev_mod, g_xs
+from .projections import CH, CP, EV, XS, deleted_every, g_ch, g_cp, g_ev, g_xs
 
 registry = Registry()
 add = registry.add
@@ -69,20 +69,10 @@ def edge_exists_at_level(spark, d):
 
 
 @add("find_edge", f"""with {XS}, asked as (select distinct tail as src, head as dst from xs1_match where tail is not null and head is not null
-        union select distinct src, dst from xs where src % 5 = 0)
-select a.src, a.dst, max_by(rec_no, (created_level, rec_no)) as edge_id, max(created_level) as created_level
-from asked a left join xs on xs.src = a.src and xs.dst = a.dst group by 1, 2""")
-def find_edge(spark, d):
-    g = g_xs(spark, d)
-    m = table(spark, d, "xs1_match").where("tail is not null and head is not null")
-    return g.find(m.select(F.col("tail").alias("src"), F.col("head").alias("dst")).unionByName(g.edges.where("src % 5 = 0").select("src", "dst")))
-
-
-@add("find_edge_whole", f"""with {XS}, asked as (select distinct tail as src, head as dst from xs1_match where tail is not null and head is not null
         union select distinct src, dst from xs)
 select a.src, a.dst, max_by(rec_no, (created_level, rec_no)) as edge_id, max(created_level) as created_level
 from asked a left join xs on xs.src = a.src and xs.dst = a.dst group by 1, 2""")
-def find_edge_whole(spark, d):
+def find_edge(spark, d):
     g = g_xs(spark, d)
     m = table(spark, d, "xs1_match").where("tail is not null and head is not null")
     return g.find(m.select(F.col("tail").alias("src"), F.col("head").alias("dst")).unionByName(g.edges.select("src", "dst")))
@@ -108,15 +98,8 @@ def common_neighbours(spark, d):
 
 @add("adjacency_print", f"""with {EV}, o as (select src as id, list_sort(list(dst)) as o from ev group by 1), i as (select dst as id, list_sort(list(src)) as i from ev group by 1)
 select v.id, coalesce(array_to_string(o, ' '), '') as out_list, coalesce(array_to_string(i, ' '), '') as in_list
-from range(0, 51) v(id) left join o using (id) left join i using (id)""")
-def adjacency_print(spark, d):
-    return g_ev(spark, d).adjacency(0, 50).select("id", F.array_join("out", " ").alias("out_list"), F.array_join("in", " ").alias("in_list"))
-
-
-@add("adjacency_print_whole", f"""with {EV}, o as (select src as id, list_sort(list(dst)) as o from ev group by 1), i as (select dst as id, list_sort(list(src)) as i from ev group by 1)
-select v.id, coalesce(array_to_string(o, ' '), '') as out_list, coalesce(array_to_string(i, ' '), '') as in_list
 from range((select max(greatest(src, dst)) + 1 from ev)) v(id) left join o using (id) left join i using (id)""")
-def adjacency_print_whole(spark, d):
+def adjacency_print(spark, d):
     g = g_ev(spark, d)
     return g.adjacency(0, g.max_nodes - 1).select("id", F.array_join("out", " ").alias("out_list"), F.array_join("in", " ").alias("in_list"))
 
@@ -126,6 +109,13 @@ def random_nodes(spark, d):
     return g_cp(spark, d).random_nodes(20, seed=7)
 
 
+@add("random_nodes_check", "select 20 as n_nodes, 0 as n_missing")
+def random_nodes_check(spark, d):
+    g = g_cp(spark, d)
+    drawn = g.random_nodes(20, seed=7).join(g.existing().withColumn("_there", F.lit(1)), "id", "left")
+    return drawn.agg(F.count_distinct("id").cast("int").alias("n_nodes"), F.sum(F.when(F.col("_there").isNull(), 1).otherwise(0)).cast("int").alias("n_missing"))
+
+
 @add("node_property", f"""with {XS}, n as (select distinct on (id) id, age from nodes order by id, level desc, age desc nulls last)
 select v.id, coalesce(age, 0) as age from range((select max(greatest(src, dst)) + 1 from xs)) v(id) left join n using (id)""")
 def node_property(spark, d):
@@ -191,6 +181,16 @@ def split_parts(spark, d):
     return parts[0].select(F.lit(0).alias("part"), "src", "dst").unionByName(parts[1].select(F.lit(1).alias("part"), "src", "dst")).unionByName(parts[2].select(F.lit(2).alias("part"), "src", "dst"))
 
 
+@add("split_check", f"with {CP} select count(*) as n_edges, 0 as n_torn from cp")
+def split_check(spark, d):
+    """Edges in all parts together, and pairs of ids that lie in more than one."""
+    parts = transform.split_edges(g_cp(spark, d).edges, [0.8, 0.1, 0.1], seed=3, keep_pairs=True)
+    a, b, c = (p.select("src", "dst", F.lit(k).alias("part")) for k, p in enumerate(parts))
+    pairs = a.unionByName(b).unionByName(c).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    seen = pairs.agg(F.count(F.lit(1)).alias("n"), (F.min("part") != F.max("part")).cast("int").alias("torn"))
+    return seen.agg(F.sum("n").alias("n_edges"), F.sum("torn").cast("int").alias("n_torn"))
+
+
 @add("shuffled_edges", f"with {EV} select src, dst, edge_id from ev")
 def shuffled_edges(spark, d):
     return transform.shuffle_edges(g_ev(spark, d).edges.select("src", "dst", "edge_id"), seed=5)
@@ -356,13 +356,8 @@ def pagerank_float(spark, d):
     return pagerank.pagerank(g_cp(spark, d), single=True).withColumn("rank", F.round(F.col("rank").cast("double"), 7))
 
 
-@add("pagerank_push", _rank_sql(EV17, "ev17", 10, 6))
+@add("pagerank_push", _rank_sql(XS, "xs", 10, 6))
 def pagerank_push(spark, d):
-    return pagerank.pagerank(g_ev_mod(spark, d, 17), single=True).withColumn("rank", F.round(F.col("rank").cast("double"), 6))
-
-
-@add("pagerank_push_whole", _rank_sql(XS, "xs", 10, 6))
-def pagerank_push_whole(spark, d):
     return pagerank.pagerank(g_xs(spark, d), single=True).withColumn("rank", F.round(F.col("rank").cast("double"), 6))
 
 
@@ -388,45 +383,6 @@ b(id, level) as (select {root}, 0 union select e.dst, level + 1 from b join e on
 select id, min(level) as level from b group by 1"""
 
 
-def _root17(spark, d):
-    g = g_ev_mod(spark, d, 17)
-    return g, g.view.agg(F.min("src")).first()[0]
-
-
-_LEV17 = _levels_sql(EV17, "ev17", "(select min(src) from ev17)", 40)
-
-
-@add("bfs_levels", _LEV17)
-def bfs_levels(spark, d):
-    return traversal.bfs(*_root17(spark, d))
-
-
-@add("bfs_count", f"select count(*) as n_reached from ({_LEV17})")
-def bfs_count(spark, d):
-    return traversal.bfs_count(*_root17(spark, d))
-
-
-@add("bfs_reverse", _levels_sql(f"{EV17}, rev as (select dst as src, src as dst from ev17)", "rev", "(select min(src) from ev17)", 40))
-def bfs_reverse(spark, d):
-    return traversal.bfs(*_root17(spark, d), reverse=True)
-
-
-@add("bfs_down_edges", f"with lev as ({_LEV17}), {EV17} select src, dst, a.level from ev17 join lev a on a.id = src join lev b on b.id = dst where b.level = a.level + 1")
-def bfs_down_edges(spark, d):
-    g, root = _root17(spark, d)
-    return traversal.down_edges(g, traversal.bfs(g, root))
-
-
-@add("sssp_unweighted", f"select id, level::double as dist from ({_LEV17})")
-def sssp_unweighted(spark, d):
-    return traversal.bfs(*_root17(spark, d)).select("id", F.col("level").cast("double").alias("dist"))
-
-
-@add("sssp_unweighted_iter", f"select id, level::double as dist from ({_LEV17})")
-def sssp_unweighted_iter(spark, d):
-    return traversal.shortest_paths(*_root17(spark, d))
-
-
 _DIST = f"""with recursive {CP}, e as (select src, dst, min(weight)::double as w from cp group by 1, 2),
 r(it, id, dist) as (select 0, 0::bigint, 0.0::double
     union all select it, id, min(dist) from (select it + 1 as it, id, dist from r where it < 30
@@ -444,14 +400,6 @@ def sssp_weighted_max(spark, d):
     return traversal.farthest(traversal.shortest_paths(g_cp(spark, d), 0, weight="weight"))
 
 
-@add("dfs_order")
-def dfs_order(spark, d):
-    return traversal.dfs(*_root_xs(spark, d))
-
-
-# The searches above, whose SQL is over every 17th edge or so, on all edges of a table
-
-
 def _root_xs(spark, d):
     g = g_xs(spark, d)
     return g, g.view.agg(F.min("src")).first()[0]
@@ -460,38 +408,55 @@ def _root_xs(spark, d):
 _LEV_XS = _levels_sql(XS, "xs", "(select min(src) from xs)", 40)
 
 
-@add("bfs_levels_whole", _LEV_XS)
-def bfs_levels_whole(spark, d):
+@add("bfs_levels", _LEV_XS)
+def bfs_levels(spark, d):
     return traversal.bfs(*_root_xs(spark, d))
 
 
-@add("bfs_count_whole", f"select count(*) as n_reached from ({_LEV_XS})")
-def bfs_count_whole(spark, d):
+@add("bfs_count", f"select count(*) as n_reached from ({_LEV_XS})")
+def bfs_count(spark, d):
     return traversal.bfs_count(*_root_xs(spark, d))
 
 
-@add("bfs_reverse_whole", _levels_sql(f"{XS}, rev as (select dst as src, src as dst from xs)", "rev", "(select min(dst) from xs)", 40))
-def bfs_reverse_whole(spark, d):
+@add("bfs_reverse", _levels_sql(f"{XS}, rev as (select dst as src, src as dst from xs)", "rev", "(select min(dst) from xs)", 40))
+def bfs_reverse(spark, d):
     g = g_xs(spark, d)
     return traversal.bfs(g, g.view.agg(F.min("dst")).first()[0], reverse=True)  # the least source may have no in-edges
 
 
-@add("bfs_down_edges_whole", f"with lev as ({_LEV_XS}), {XS} select src, dst, a.level from xs join lev a on a.id = src join lev b on b.id = dst where b.level = a.level + 1")
-def bfs_down_edges_whole(spark, d):
+@add("bfs_down_edges", f"with lev as ({_LEV_XS}), {XS} select src, dst, a.level from xs join lev a on a.id = src join lev b on b.id = dst where b.level = a.level + 1")
+def bfs_down_edges(spark, d):
     g, root = _root_xs(spark, d)
     return traversal.down_edges(g, traversal.bfs(g, root))
 
 
-@add("sssp_unweighted_whole", f"select id, level::double as dist from ({_LEV_XS})")
-def sssp_unweighted_whole(spark, d):
+@add("sssp_unweighted", f"select id, level::double as dist from ({_LEV_XS})")
+def sssp_unweighted(spark, d):
     return traversal.bfs(*_root_xs(spark, d)).select("id", F.col("level").cast("double").alias("dist"))
 
 
-@add("sssp_unweighted_iter_whole", f"select id, level::double as dist from ({_LEV_XS})")
-def sssp_unweighted_iter_whole(spark, d):
+@add("sssp_unweighted_iter", f"select id, level::double as dist from ({_LEV_XS})")
+def sssp_unweighted_iter(spark, d):
     return traversal.shortest_paths(*_root_xs(spark, d))
 
 
+@add("dfs_order")
+def dfs_order(spark, d):
+    return traversal.dfs(*_root_xs(spark, d))
+
+
+@add("dfs_check", f"select count(*) as n_reached, 0 as n_wrong from ({_LEV_XS})")
+def dfs_check(spark, d):
+    """Vertices reached, and those whose parent isn't an edge away, or whose numbers don't lie inside the parent's."""
+    g, root = _root_xs(spark, d)
+    t = traversal.dfs(g, root).persist()
+    up = t.select(F.col("id").alias("parent"), F.col("pre").alias("_pre"), F.col("post").alias("_post"))
+    e = g.view.select(F.col("src").alias("parent"), F.col("dst").alias("id")).distinct().withColumn("_edge", F.lit(True))
+    both = t.join(up, "parent", "left").join(e, ["parent", "id"], "left")
+    right = (F.col("id") == root) | (F.col("_edge") & (F.col("_pre") < F.col("pre")) & (F.col("_post") > F.col("post")))
+    return both.agg(F.count(F.lit(1)).alias("n_reached"), F.sum(F.when(right, 0).otherwise(1)).cast("int").alias("n_wrong"))
+
+
 def _bc_sql(edges: str, name: str, sources: str, deepest: int) -> str:
     return f"""with recursive {edges}, e as (select src, dst, count(*)::double as m from {name} group by 1, 2),
 start as ({sources}),
@@ -509,52 +474,39 @@ select v.id, round(coalesce(sum(delta * k), 0), 6) as bc from range((select max(
 left join (select del.v, delta, k from del join (select id, count(*) as k from start group by 1) q on q.id = del.s where del.v <> del.s) z on z.v = v.id group by 1"""
 
 
-@add("bc_adj", _bc_sql(EV17, "ev17", "select id from range((select max(greatest(src, dst)) + 1 from ev17)) v(id)", 40))
+@add("bc_adj", _bc_sql(CH, "ch", "select id from range((select max(greatest(src, dst)) + 1 from ch)) v(id)", 200))
 def bc_adj(spark, d):
-    return bc.betweenness(g_ev_mod(spark, d, 17)).withColumn("bc", F.round("bc", 6))
-
-
-@add("bc_random", _bc_sql(EV29, "ev29", "select distinct src as id from ev29 where src % 7 = 1 union all select distinct src from ev29 where src % 14 = 1", 40))
-def bc_random(spark, d):
-    g = g_ev_mod(spark, d, 29)
-    own = g.view.select(F.col("src").alias("id")).distinct()
-    return bc.betweenness(g, own.where("id % 7 = 1").unionByName(own.where("id % 14 = 1"))).withColumn("bc", F.round("bc", 6))
+    """Every vertex of the chains of orders is a source; a chain is short, so that very many sources make one batch."""
+    return bc.betweenness(g_ch(spark, d), batch=1 << 20).withColumn("bc", F.round("bc", 6))
 
 
-@add("bc_adj_whole")
-def bc_adj_whole(spark, d):
+@add("bc_adj_events")
+def bc_adj_events(spark, d):
     return bc.betweenness(g_ev(spark, d)).withColumn("bc", F.round("bc", 6))
 
 
-@add("bc_random_drawn")
-def bc_random_drawn(spark, d):
+@add("bc_random")
+def bc_random(spark, d):
     g = g_ev(spark, d)
     return bc.betweenness(g, bc.drawn_sources(g, 100, seed=1))
 
 
-def _scc_sql(edges: str, name: str) -> str:
-    return f"""with recursive {edges}, reach(a, b) as (select id, id from range((select max(greatest(src, dst)) + 1 from {name})) v(id)
-    union select a, dst from reach join {name} on src = b)
-select x.a as id, min(x.b) as component from reach x join reach y on y.a = x.b and y.b = x.a group by 1"""
-
-
-@add("tarjan_scc", _scc_sql(EV17, "ev17"))
+@add("tarjan_scc")
 def tarjan_scc(spark, d):
-    return components.strong_components(g_ev_mod(spark, d, 17))
-
-
-@add("scc_many", _scc_sql(EV29, "ev29"))
-def scc_many(spark, d):
-    return components.strong_components(g_ev_mod(spark, d, 29))
+    return components.strong_components(g_xs(spark, d))
 
 
-@add("tarjan_scc_whole")
-def tarjan_scc_whole(spark, d):
-    return components.strong_components(g_xs(spark, d))
+@add("scc_of_root", f"select a.id from ({_levels_sql(XS, 'xs', '(select min(src) from xs)', 1000)}) a join ({_levels_sql(f'{XS}, rev as (select dst as src, src as dst from xs)', 'rev', '(select min(src) from xs)', 1000)}) b using (id)")
+def scc_of_root(spark, d):
+    """The component of the least source."""
+    g, root = _root_xs(spark, d)
+    found = components.strong_components(g).persist()
+    own = found.where(F.col("id") == root).first().component
+    return found.where(F.col("component") == own).select("id")
 
 
-@add("scc_many_whole")
-def scc_many_whole(spark, d):
+@add("scc_many")
+def scc_many(spark, d):
     return components.strong_components(g_cp(spark, d))
 
 
@@ -572,17 +524,10 @@ def triangle_count_od(spark, d):
     return triangles.triangles(Graph(transform.deduplicate(transform.undirected_ordered(g_cp(spark, d).edges.select("src", "dst", "created_level")))))
 
 
-@add("triangle_count_u", f"""with {EV17}, u as (select src, dst from ev17 union all select dst, src from ev17 where src <> dst),
+@add("triangle_count_u", f"""with {XS}, u as (select src, dst from xs union all select dst, src from xs where src <> dst),
 m as (select src, dst, count(*) as m from u where src < dst group by 1, 2)
 select coalesce(sum(x.m * y.m * z.m), 0)::bigint as n_triangles from m x join m y on y.src = x.src and y.dst > x.dst join m z on z.src = x.dst and z.dst = y.dst""")
 def triangle_count_u(spark, d):
-    return triangles.triangles_doubled(Graph(transform.undirected_double(g_ev_mod(spark, d, 17).edges)))
-
-
-@add("triangle_count_u_whole", f"""with {XS}, u as (select src, dst from xs union all select dst, src from xs where src <> dst),
-m as (select src, dst, count(*) as m from u where src < dst group by 1, 2)
-select coalesce(sum(x.m * y.m * z.m), 0)::bigint as n_triangles from m x join m y on y.src = x.src and y.dst > x.dst join m z on z.src = x.dst and z.dst = y.dst""")
-def triangle_count_u_whole(spark, d):
     return triangles.triangles_doubled(Graph(transform.undirected_double(g_xs(spark, d).edges)))
 
 
@@ -632,6 +577,14 @@ def er_graph(spark, d):
     return erdos_renyi(spark, 1000, 20_000, seed=1)
 
 
+@add("er_graph_check", "select 20000 as n_edges, 0 as n_outside")
+def er_graph_check(spark, d):
+    from ..sources.generators import erdos_renyi
+
+    outside = F.when(F.col("src").between(0, 999) & F.col("dst").between(0, 999), 0).otherwise(1)
+    return erdos_renyi(spark, 1000, 20_000, seed=1).agg(F.count(F.lit(1)).cast("int").alias("n_edges"), F.sum(outside).cast("int").alias("n_outside"))
+
+
 @add("rmat_graph")
 def rmat_graph(spark, d):
     from ..sources.generators import rmat
@@ -639,6 +592,16 @@ def rmat_graph(spark, d):
     return rmat(spark, 12, 8, seed=1)
 
 
+@add("rmat_graph_check", "select 32768 as n_edges, 0 as n_outside, true as skewed")
+def rmat_graph_check(spark, d):
+    from ..sources.generators import rmat
+
+    e = rmat(spark, 12, 8, seed=1)
+    outside = F.when(F.col("src").between(0, 4095) & F.col("dst").between(0, 4095), 0).otherwise(1)
+    low = F.sum(((F.col("src") < 2048) & (F.col("dst") < 2048)).cast("int")) / F.count(F.lit(1))
+    return e.agg(F.count(F.lit(1)).cast("int").alias("n_edges"), F.sum(outside).cast("int").alias("n_outside"), low.between(0.54, 0.60).alias("skewed"))
+
+
 def _round_trip(spark, d, ending, write):
     from ..sources.registry import load
     from ..workspace import Workspace

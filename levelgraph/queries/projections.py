@@ -16,8 +16,6 @@ CP = """cp as (select o_custkey as src, l_partkey as dst, l_quantity as weight,
 EV = """ev as (select * from (select user_id as src, lead(user_id) over (order by ts, event_id) as dst, value as weight,
     row_number() over (order by ts, event_id) as edge_id,
     cast(floor((row_number() over (order by ts, event_id) - 1) / 1000) as int) as created_level from events) where dst is not null)"""
-EV17 = f"{EV}, ev17 as (select distinct src, dst from ev where (src * 7 + dst * 13) % 17 = 0)"
-EV29 = f"{EV}, ev29 as (select distinct src, dst from ev where (src * 7 + dst * 13) % 29 = 0)"
 #: Consecutive orders of a customer.
 CH = """ch as (select * from (select o_orderkey as src, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst
     from orders) where dst is not null)"""
@@ -43,12 +41,6 @@ def g_ev(spark: SparkSession, sf_dir: str, batch: int = 1000) -> Graph:
     return Graph(ev_edges(spark, sf_dir, batch))
 
 
-def g_ev_mod(spark: SparkSession, sf_dir: str, modulus: int) -> Graph:
-    """A sparser graph of the same users, which isn't strongly connected."""
-    e = ev_edges(spark, sf_dir).where(f"(src * 7 + dst * 13) % {modulus} = 0").select("src", "dst").distinct()
-    return Graph(e.withColumn("edge_id", F.xxhash64("src", "dst")))
-
-
 def g_ch(spark: SparkSession, sf_dir: str) -> Graph:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst"))

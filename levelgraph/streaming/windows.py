@@ -65,7 +65,7 @@ def stream_into(
         store.write_level(batch, number)
         low = max(0, number - window + 1)
         if task is not None:
-            task(store.open().window(low, number), number)
+            task(store.open(number, low).window(low, number), number)
         if not keep and low > 0:
             store.delete_level(low - 1)
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
@@ -25,17 +28,37 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
+_open: list[Workspace] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes the intermediate tables of all that is called inside, once its results aren't needed any more."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        while len(_open) > before:
+            _open.pop().close()
+
+
+@atexit.register
+def _close_all() -> None:
+    while _open:
+        _open.pop().close()
+
+
 class Workspace:
     """A folder of intermediate Parquet tables of one operator call.
 
-    ``save`` writes a table and reads it back, ``drop`` removes one that has been superseded. What is left goes when the
-    driver ends, as returned DataFrames may still read it.
+    ``save`` writes a table and reads it back, ``drop`` removes one that has been superseded. What is left goes when a
+    ``scope`` or the driver ends, as returned DataFrames may still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/levelgraph-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.close)
+        _open.append(self)
 
     def path(self, tag: str) -> str:
         return f"{self.root}/{tag}"

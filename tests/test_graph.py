@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from levelgraph import Graph
 from levelgraph.graph import edge_id, level_of
 from levelgraph.operators import transform
-from levelgraph.operators.mutation import Delta, delete_by_visible_level, set_edge_property
+from levelgraph.operators.mutation import Delta, delete_by_visible_level, set_edge_property, set_node_property
 from levelgraph.plans.ordering import with_row_number
 from levelgraph.store import Store, flatten
 from levelgraph.tools import inspect
@@ -140,6 +142,84 @@ def test_additions(spark):
     assert pairs(delete_by_visible_level(g, ids, 1).at(1)) == [(1, 2)] and len(pairs(delete_by_visible_level(g, ids, 1).at(0))) == 2
 
 
+def test_weights_add_up_over_calls(spark):
+    g = graph(spark, [(0, 1)])
+    new = spark.createDataFrame([(5, 6), (5, 6), (0, 1), (None, 1)], "src long, dst long")
+    d = Delta(g).add_weighted(new).add_weighted(new.where("src = 5").limit(1)).add_weighted(new.where("src = 0"))
+    assert rows(d.merged().view, "src", "dst", "stream_weight") == [(0, 1, 3), (5, 6, 3)]
+    assert rows(d.checkpoint().at(0).view, "src", "dst") == [(0, 1)]
+
+
+def test_pending_edges_can_go(spark):
+    g = graph(spark, [(0, 1)])
+    d = Delta(g).add_edges(spark.createDataFrame([(2, 3), (2, 3), (4, 5)], "src long, dst long"))
+    ids = d.merged().view.where("src = 2").select("edge_id").orderBy("edge_id")
+    first = ids.limit(1)
+    one = d.delete_edges(first)
+    assert pairs(one.merged()) == [(0, 1), (2, 3), (4, 5)]
+    again = one.add_edges(spark.createDataFrame([(7, 8)], "src long, dst long"))  # ids stay, and aren't used twice
+    kept = rows(again.merged().edges, "src", "edge_id")
+    assert kept == sorted(rows(d.merged().edges.join(first, "edge_id", "left_anti"), "src", "edge_id") + [(7, (1 << 38) + 3)])
+    assert pairs(again.delete_edges(ids).checkpoint()) == [(0, 1), (4, 5), (7, 8)]
+
+
+def test_nodes_without_edges(spark, tmp_path):
+    g = graph(spark, [(0, 1)])
+    d = Delta(g).add_nodes(spark.createDataFrame([(9, 40), (4, 1)], "id long, age int")).delete_nodes(spark.createDataFrame([(4,)], "id long"))
+    for after in (d.merged(), d.checkpoint()):
+        assert after.vertices().count() == 10 and rows(after.existing()) == [(0,), (1,), (9,)] and rows(after.at(0).existing()) == [(0,), (1,)]
+    store = Store(spark, str(tmp_path / "db"))
+    store.save(g)
+    assert rows(Delta(store.open()).add_nodes(spark.createDataFrame([(9, 40)], "id long, age int")).checkpoint(store).existing()) == [(0,), (1,), (9,)]
+    last = Delta(store.open()).delete_nodes(spark.createDataFrame([(9,)], "id long")).checkpoint(store)
+    assert rows(last.existing()) == [(0,), (1,)] and rows(last.at(1).existing()) == [(0,), (1,), (9,)]
+
+
+def test_levels_of_deletions_alone(spark, tmp_path):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3)])
+    store = Store(spark, str(tmp_path / "db"))
+    store.save(g)
+    for k in range(2):
+        Delta(store.open()).delete_edges(g.edges.where(f"src = {k}")).checkpoint(store)
+    assert pairs(store.open()) == [(2, 3)] and pairs(store.open(max_level=1)) == [(1, 2), (2, 3)] and store.open().num_levels == 3
+
+
+def test_node_property_add(spark):
+    g = graph(spark, [(0, 1, 0), (1, 2, 1)], [(0, 0, 30), (1, 1, 5)])
+    values = spark.createDataFrame([(0, 2), (0, 1), (1, 1), (2, 7), (2, None)], "id long, age int")
+    assert rows(set_node_property(g, values, "age", add=True).node_property("age")) == [(0, 33), (1, 6), (2, 7)]
+    assert rows(set_node_property(g, values, "age").node_property("age")) == [(0, 2), (1, 1), (2, 7)]
+    assert rows(set_node_property(g, values, "age").at(0).node_property("age")) == [(0, 30), (1, 0), (2, 0)]
+
+
+def replayed(edges, log):
+    """The log row by row; edges are [src, dst, weight or None]."""
+    kinds = ["delete_node", "delete_edge", "add_edge", "add_edge_if_absent", "add_weighted"]
+    for op, a, b, _ in sorted(log, key=lambda r: (r[3], kinds.index(r[0]))):
+        same = [e for e in edges if e[:2] == [a, b]]
+        if op == "delete_node":
+            edges = [e for e in edges if a not in e[:2]]
+        elif op == "delete_edge":
+            edges = [e for e in edges if e not in same]
+        elif op == "add_edge" or (op == "add_edge_if_absent" and not same):
+            edges = edges + [[a, b, None]]
+        elif op == "add_weighted":
+            edges = [e for e in edges if e not in same] + [[a, b, 1 + sum(1 if e[2] is None else e[2] for e in same)]]
+    return sorted(map(tuple, edges), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_log_in_order(spark, seed):
+    rnd = random.Random(seed)
+    old = [(rnd.randrange(4), rnd.randrange(4)) for _ in range(12)]
+    ops = ["delete_node"] + ["delete_edge"] * 4 + ["add_edge", "add_edge_if_absent", "add_weighted"] * 5
+    log = [(rnd.choice(ops), rnd.randrange(4), rnd.randrange(4), rnd.randrange(40)) for _ in range(60)]
+    g = graph(spark, old)
+    g.edges = g.edges.drop("weight")
+    got = Delta(g).apply(spark.createDataFrame(log, "op string, src long, dst long, seq int")).merged().view
+    assert sorted((tuple(r) for r in got.select("src", "dst", "stream_weight").collect()), key=str) == replayed([[a, b, None] for a, b in old], log)
+
+
 def test_log_of_operations(spark):
     g = graph(spark, [(0, 1), (1, 2), (2, 3), (3, 0)])
     log = spark.createDataFrame(

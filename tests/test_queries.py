@@ -61,12 +61,12 @@ def query(spark, folder, name):
 def test_searches_use_every_edge(spark, folder):
     root = min(a for a, _ in EDGES)
     want = brute_bfs(EDGES, root)
-    assert dict(rows(query(spark, folder, "bfs_levels_whole"))) == want
-    assert rows(query(spark, folder, "bfs_count_whole")) == [(len(want),)]
-    assert dict(rows(query(spark, folder, "bfs_reverse_whole"))) == brute_bfs([(b, a) for a, b in EDGES], min(b for _, b in EDGES))
+    assert dict(rows(query(spark, folder, "bfs_levels"))) == want
+    assert rows(query(spark, folder, "bfs_count")) == [(len(want),)]
+    assert dict(rows(query(spark, folder, "bfs_reverse"))) == brute_bfs([(b, a) for a, b in EDGES], min(b for _, b in EDGES))
     down = sorted((a, b, want[a]) for a, b in EDGES if a in want and want.get(b) == want[a] + 1)
-    assert rows(query(spark, folder, "bfs_down_edges_whole")) == down and len(set(down)) < len(down)
-    for name in ("sssp_unweighted_whole", "sssp_unweighted_iter_whole"):
+    assert rows(query(spark, folder, "bfs_down_edges")) == down and len(set(down)) < len(down)
+    for name in ("sssp_unweighted", "sssp_unweighted_iter"):
         assert dict(rows(query(spark, folder, name))) == want
 
 
@@ -94,7 +94,7 @@ def test_pushed_ranks_count_parallel_edges(spark, folder):
         for a, b in EDGES:
             new[b] += 0.85 * r[a] / out[a]
         r = new
-    got = dict(rows(query(spark, folder, "pagerank_push_whole")))
+    got = dict(rows(query(spark, folder, "pagerank_push")))
     assert len(got) == n and all(math.isclose(got[i], r[i], abs_tol=2e-6) for i in range(n))
 
 
@@ -102,12 +102,12 @@ def test_betweenness_uses_every_edge(spark, folder):
     edges = list(zip(USERS, USERS[1:]))
     n = 1 + max(USERS)
     assert len(set(edges)) < len(edges)
-    got = dict(rows(query(spark, folder, "bc_adj_whole")))
+    got = dict(rows(query(spark, folder, "bc_adj_events")))
     assert len(got) == n and all(math.isclose(got[i], x, abs_tol=1e-6) for i, x in enumerate(brute_bc(edges, n, range(n))))
     drawn = [i for (i,) in rows(betweenness.drawn_sources(g_ev(spark, folder), 100, seed=1))]
     assert len(drawn) == 100
     want = brute_bc(edges, n, drawn)
-    got = dict(rows(query(spark, folder, "bc_random_drawn")))
+    got = dict(rows(query(spark, folder, "bc_random")))
     assert len(got) == n and all(math.isclose(got[i], x, abs_tol=1e-6) for i, x in enumerate(want))
 
 
@@ -115,8 +115,8 @@ def test_components_use_every_edge(spark, folder):
     reach = {v: set(brute_bfs(EDGES, v)) for v in range(1 + max(max(e) for e in EDGES))}
     want = {v: min(u for u in reach[v] if v in reach[u]) for v in reach}
     assert 2 < len(set(want.values())) < len(want)
-    assert dict(rows(query(spark, folder, "tarjan_scc_whole"))) == want
-    assert dict(rows(query(spark, folder, "scc_many_whole"))) == want
+    assert dict(rows(query(spark, folder, "tarjan_scc"))) == want
+    assert dict(rows(query(spark, folder, "scc_many"))) == want
 
 
 def test_doubled_triangles_use_every_edge(spark, folder):
@@ -124,7 +124,7 @@ def test_doubled_triangles_use_every_edge(spark, folder):
     n = 1 + max(max(e) for e in EDGES)
     want = sum(m[a, b] * m[a, c] * m[b, c] for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n))
     assert want > 0 and max(m.values()) > 2
-    assert rows(query(spark, folder, "triangle_count_u_whole")) == [(want,)]
+    assert rows(query(spark, folder, "triangle_count_u")) == [(want,)]
 
 
 def test_a_hub_of_low_id_makes_no_wedges(spark):
@@ -140,7 +140,7 @@ def test_every_edge_is_found(spark, folder):
     for e in EDGES:
         level, best = max((k % 8, k) for k, other in enumerate(EDGES) if other == e)
         want[e] = (best, level)
-    got = rows(query(spark, folder, "find_edge_whole"), "src", "dst", "edge_id", "created_level")
+    got = rows(query(spark, folder, "find_edge"), "src", "dst", "edge_id", "created_level")
     assert got == sorted((*k, *v) for k, v in want.items())
 
 
@@ -148,4 +148,4 @@ def test_every_id_is_printed(spark, folder):
     edges = list(zip(USERS, USERS[1:]))
     lists = lambda v, here, there: " ".join(map(str, sorted(e[there] for e in edges if e[here] == v)))
     assert max(USERS) > 50
-    assert rows(query(spark, folder, "adjacency_print_whole")) == [(v, lists(v, 0, 1), lists(v, 1, 0)) for v in range(max(USERS) + 1)]
+    assert rows(query(spark, folder, "adjacency_print")) == [(v, lists(v, 0, 1), lists(v, 1, 0)) for v in range(max(USERS) + 1)]
