@@ -94,6 +94,21 @@ def p6_fill(spark, sf_dir):
     return fill_report(pack(table(spark, sf_dir, "documents"), capacities), capacities)
 
 
+@registry.add("p6_check", """select capacity_name, (select count(*) from documents) as n_documents, 0 as n_over, 0 as n_split, true as filled
+from pack_capacity""")
+def p6_check(spark, sf_dir):
+    """Documents placed, containers over capacity, documents split that fit into one, and whether 98 % of the space is filled."""
+    capacities = table(spark, sf_dir, "pack_capacity")
+    packed = pack(table(spark, sf_dir, "documents"), capacities).join(capacities, "capacity_name").persist()
+    ok = lambda bad: F.sum(F.when(bad, 1).otherwise(0)).cast("int")
+    by_doc = packed.groupBy("capacity_name", "doc_id", "capacity_tokens").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k"))
+    docs = by_doc.groupBy("capacity_name").agg(F.count(F.lit(1)).alias("n_documents"), ok((F.col("k") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("n_split"))
+    by_container = packed.where("container_no > 0").groupBy("capacity_name", "container_no", "capacity_tokens").agg(F.sum("tokens").alias("t"))
+    filled = F.sum("t") / (F.count(F.lit(1)) * F.max("capacity_tokens")) >= 0.98
+    containers = by_container.groupBy("capacity_name").agg(ok(F.col("t") > F.col("capacity_tokens")).alias("n_over"), filled.alias("filled"))
+    return docs.join(containers, "capacity_name").select("capacity_name", "n_documents", "n_over", "n_split", "filled")
+
+
 #: Groups of sources that stand in for each other.
 DOMAINS = {
     "course-archive": "teaching", "question-board": "teaching", "school-club": "teaching", "training-camp": "teaching",
