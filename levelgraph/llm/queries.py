@@ -10,7 +10,7 @@ from .frequent_items import frequent_items
 from .mixing import AVAILABLE, mix
 from .packing import fill_report, pack
 from .readability import reading_levels
-from .top_n import top_n_per_group
+from .top_n import top_n_per_group, top_n_read
 
 registry = Registry()
 
@@ -83,6 +83,12 @@ def p5_top_heads(spark, sf_dir):
     return _top(spark, sf_dir)
 
 
+@registry.add("p5_row_groups")
+def p5_row_groups(spark, sf_dir):
+    """Row groups that were read, and those there are."""
+    return top_n_read(table(spark, sf_dir, "xs1"), "tail", "head", "weight", 5)[1]
+
+
 @registry.add("p6_pack")
 def p6_pack(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
