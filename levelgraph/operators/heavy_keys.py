@@ -45,6 +45,33 @@ def heavy_keys(df: DataFrame, key: str, share: float, by: tuple[str, ...] = ())
     )
 
 
+#: Share of a table's rows from which a key is looked up apart from the others, and items that are tracked to find it.
+HOT_SHARE, HOT_TRACKED = 1 / 64, 1024
+
+
+def hot_keys_seen(key: str) -> Column:
+    """A metric to take while a table is written: its keys of about HOT_SHARE of the rows; 16 KB a task at most."""
+    return F.expr(f"approx_top_k(`{key}`, {round(2 / HOT_SHARE)}, {HOT_TRACKED})")
+
+
+def hot_keys_of(metric: list | None, rows: int) -> list:
+    """The keys of ``hot_keys_seen`` that reach the share: at most 1/HOT_SHARE, but for the sketch's error twice as many."""
+    return [r.item for r in metric or [] if r.item is not None and r["count"] >= HOT_SHARE / 2 * rows]
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """left joined (left outer) with right, which has one row for a key.
+
+    Rows of left with a hot key meet a broadcast of right's rows for these few, all others an ordinary shuffle, so that
+    a key that most rows have doesn't gather them in one task.
+    """
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.col(key).isin(hot)
+    few = F.broadcast(right.where(is_hot))  # at most a row for each hot key
+    return left.where(~is_hot | F.col(key).isNull()).join(right, key, "left").unionByName(left.where(is_hot).join(few, key, "left"))
+
+
 def node_sides(edges: DataFrame) -> DataFrame:
     """(side, node, other, weight): every edge once for its tail and once for its head. Extra columns are left behind."""
     require_columns(edges, "tail", "head", "weight")
