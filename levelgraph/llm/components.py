@@ -4,7 +4,8 @@ Each round takes out vertices of degree one (into their neighbour) and an indepe
 drawn by random priorities as in list ranking by contraction: a chain loses a constant share of its vertices a round and
 its ends stay linked by one edge. Every removed vertex points to one that outlives the round. What has no such vertex
 left, the core, is contracted by random mating until it is small, and finished in one task whose input is bounded by
-count. Labels then go back down the pointers, round by round.
+count. Labels then come back along the pointers, whose ways are doubled until all have reached their root. Where a join's
+key may be a hub or the root of a giant group, the few ids that most rows have are looked up in a broadcast.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_columns
+from ..operators.heavy_keys import hot_keys_of, hot_keys_seen, look_up
 from ..workspace import Workspace
 
 #: Arcs (an edge has two) that one task finishes: 16 bytes each.
 FINISH_ARCS = 10_000
-#: A bound no graph reaches: every round takes out a constant share of what is left, in expectation.
-MAX_ROUNDS = 200
+#: Rows of what a round of stripping writes.
+_ARC, _GONE = 0, 1
 
 
 def _arcs(edges: DataFrame, tail: str, head: str) -> DataFrame:
@@ -70,10 +72,11 @@ def _mate(arcs: DataFrame, k: int) -> DataFrame:
     return arcs.where(coin("src") & ~coin("dst")).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("parent"))
 
 
-def _contract(arcs: DataFrame, mates: DataFrame) -> DataFrame:
+def _contract(arcs: DataFrame, mates: DataFrame, hot: list) -> DataFrame:
+    """The arcs between what has been joined; hot: ids that very many arcs have, on either side, as arcs go both ways."""
     for end in ("src", "dst"):
         m = mates.select(F.col("v").alias(end), F.col("parent").alias("_to"))
-        arcs = arcs.join(m, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        arcs = look_up(arcs, m, end, hot).withColumn(end, F.coalesce("_to", end)).drop("_to")
     return arcs.where("src <> dst").select("src", "dst").distinct()
 
 
@@ -98,43 +101,75 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
 
 
+def _point(ws: Workspace, pointers: DataFrame, hot: list) -> DataFrame:
+    """(v, root) of pointers (v, parent), whose parents lead to roots: each round doubles the way that a pointer goes.
+
+    Pointers whose parent is a root don't move any more. Their number of rounds is the logarithm of the rounds of removal.
+    """
+    settled, moving, k = None, pointers, 0
+    while True:
+        ahead = pointers.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
+        moved = look_up(moving, ahead, "parent", hot).select("v", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("on"))
+        moved, seen = ws.save_counted(moved, f"pointers{k}", on=F.sum(F.col("on").cast("long")), hot=hot_keys_seen("parent"))
+        done = moved.where("not on").select("v", "parent")
+        settled = done if settled is None else settled.unionByName(done)
+        if not seen["on"]:
+            return settled.withColumnRenamed("parent", "root")
+        moving = moved.where("on").select("v", "parent")
+        pointers, hot, k = settled.unionByName(moving), hot_keys_of(seen["hot"], seen["n"]), k + 1
+
+
 def connected_groups(pairs: DataFrame, tail: str = "tail", head: str = "head", finish_arcs: int = FINISH_ARCS) -> DataFrame:
     """(group_id, node): one row for every id in either column; group_id is the least id linked to it in any way.
 
     A pair with one end null links nothing, but its other end is a record; a pair of an id with itself makes a record.
     Repeated pairs, either direction, count once; extra columns are ignored; an empty table gives no rows. Ids are longs.
+    finish_arcs bounds what one task takes of the core, once nothing can be stripped from it; 0 contracts it to nothing.
     """
+    return _groups(pairs, tail, head, finish_arcs)[0]
+
+
+def _groups(pairs: DataFrame, tail: str, head: str, finish_arcs: int) -> tuple[DataFrame, dict[str, int]]:
+    """The groups, and how many rounds of stripping and mating there were and arcs that were left to finish."""
     require_columns(pairs, tail, head)
     spark = pairs.sparkSession
     ws = Workspace(spark, "groups")
     ends = F.explode(F.array(F.col(tail).cast("long"), F.col(head).cast("long"))).alias("node")
     nodes = pairs.select(ends).where("node is not null").distinct()
-    arcs, seen = ws.save_counted(_arcs(pairs, tail, head), "arcs0")
+    arcs, seen = ws.save_counted(_arcs(pairs, tail, head), "arcs")
     removed: list[DataFrame] = []
-    stripping = True
-    for k in range(MAX_ROUNDS):
-        if seen["n"] <= finish_arcs:
+    n, rounds = seen["n"], {"strip": 0, "mate": 0, "finish": 0}
+    arcs_of = F.sum((F.col("kind") == _ARC).cast("long"))
+    while n:  # strips until little is left to strip: trees and chains vanish whole
+        gone = _strip(arcs, rounds["strip"])
+        both = gone.select(F.lit(_GONE).alias("kind"), F.col("v").alias("src"), F.col("parent").alias("dst"))
+        both = both.unionByName(_without(arcs, gone).select(F.lit(_ARC).alias("kind"), "src", "dst"))
+        step, seen = ws.save_counted(both, f"strip{rounds['strip']}", arcs=arcs_of)
+        rounds["strip"] += 1
+        left, before = seen["arcs"] or 0, n
+        removed.append(step.where(F.col("kind") == _GONE).select(F.col("src").alias("v"), F.col("dst").alias("parent")))
+        arcs, n = step.where(F.col("kind") == _ARC).select("src", "dst"), left
+        if seen["n"] - left <= 0.02 * before:
             break
-        if stripping:
-            gone, left = ws.save_counted(_strip(arcs, k), f"gone{k}")
-            # a core with few vertices of low degree shrinks faster by mating
-            stripping = left["n"] > 0.02 * seen["n"]
-            if not left["n"]:
-                continue
-            rest = _without(arcs, gone)
-        else:
-            gone, left = ws.save_counted(_mate(arcs, k), f"gone{k}")
-            rest = _contract(arcs, gone)
-        removed.append(gone.select("v", "parent"))
-        arcs, seen = ws.save_counted(rest, f"arcs{k + 1}")
-        ws.drop(f"arcs{k}")
-    else:
-        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
-    labels = ws.save(arcs.coalesce(1).mapInArrow(_finish, "node long, root long"), "labels")
-    for k, gone in enumerate(reversed(removed)):
-        # a parent that isn't labelled has lost all its links: it is the last of its group, and the root
-        down = gone.join(labels, gone.parent == labels.node, "left").select(F.col("v").alias("node"), F.coalesce("root", "parent").alias("root"))
-        labels = labels.unionByName(ws.save(down, f"down{k}"))
-    rooted = ws.save(nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+    hot = None
+    while n > finish_arcs:  # contracts the core
+        k = rounds["mate"]
+        if hot is None:
+            arcs, seen = ws.save_counted(arcs, "core", hot=hot_keys_seen("src"))
+            hot = hot_keys_of(seen["hot"], n)
+        mates = ws.save(_mate(arcs, k), f"mates{k}")
+        removed.append(mates)
+        arcs, seen = ws.save_counted(_contract(arcs, mates, hot), f"arcs{k}", hot=hot_keys_seen("src"))
+        n, hot = seen["n"], hot_keys_of(seen["hot"], seen["n"])
+        rounds["mate"] += 1
+    rounds["finish"] = n
+    last = arcs.coalesce(1).mapInArrow(_finish, "node long, root long").where("node <> root").select(F.col("node").alias("v"), F.col("root").alias("parent"))
+    pointers = last
+    for gone in removed:
+        pointers = pointers.unionByName(gone)
+    pointers, seen = ws.save_counted(pointers, "pointers", hot=hot_keys_seen("parent"))
+    roots = _point(ws, pointers, hot_keys_of(seen["hot"], seen["n"])) if seen["n"] else pointers.withColumnRenamed("parent", "root")
+    rooted = nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    rooted, seen = ws.save_counted(rooted, "rooted", hot=hot_keys_seen("root"))
     least = rooted.groupBy("root").agg(F.min("node").alias("group_id"))
-    return rooted.join(least, "root").select("group_id", "node")
+    return look_up(rooted, least, "root", hot_keys_of(seen["hot"], seen["n"])).select("group_id", "node"), rounds

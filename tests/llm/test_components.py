@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from levelgraph.llm.components import connected_groups
+from levelgraph.llm.components import _groups, connected_groups
 from tests.conftest import rows
 
 
@@ -60,3 +60,19 @@ def test_edge_cases(spark):
     assert make([(4, 4)]) == [(4, 4)]
     assert make([(None, 2), (1, None)]) == [(1, 1), (2, 2)]
     assert make([(2, 1)] * 5 + [(1, 2)] * 5) == [(1, 1), (1, 2)]
+
+
+def test_every_way_is_taken(spark):
+    pairs = shapes(5) + [(5000 + i % 40, 5000 + (i * i + 7 * i + 3) % 41) for i in range(900)]  # a large core
+    df = spark.createDataFrame(pairs, "tail long, head long")
+    for most in (0, 10_000):
+        got, rounds = _groups(df, "tail", "head", most)
+        assert rows(got) == brute(pairs)
+        assert rounds["strip"] > 2 and (rounds["mate"] > 1 and not rounds["finish"]) == (most == 0)
+
+
+def test_a_hub_that_most_links_have(spark):
+    star = [(0, i) for i in range(1, 3001)]
+    rest = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(500)] + [(20_000 + i, 20_000 + j) for i in range(12) for j in range(i)]
+    got, rounds = _groups(spark.createDataFrame(star + rest, "tail long, head long"), "tail", "head", 0)
+    assert rows(got) == brute(star + rest) and rounds["mate"]
