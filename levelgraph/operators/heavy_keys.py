@@ -8,6 +8,7 @@ salted sub-groups, all others by one ordinary shuffle, and the union of both is
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,25 +47,30 @@ def heavy_keys(df: DataFrame, key: str, share: float, by: tuple[str, ...] = ())
 
 
 #: Share of a table's rows from which a key is looked up apart from the others, and items that are tracked to find it.
-HOT_SHARE, HOT_TRACKED = 1 / 64, 1024
+HOT_SHARE, HOT_TRACKED, MOST_TRACKED = 1 / 64, 1024, 1 << 16
 
 
-def hot_keys_seen(key: str) -> Column:
-    """A metric to take while a table is written: its keys of about HOT_SHARE of the rows; 16 KB a task at most."""
-    return F.expr(f"approx_top_k(`{key}`, {round(2 / HOT_SHARE)}, {HOT_TRACKED})")
+def hot_keys_seen(key: str, share: float = HOT_SHARE) -> Column:
+    """A metric to take while a table is written: its keys of about ``share`` of the rows, as far as MOST_TRACKED items tell.
+
+    A task's sketch has 16 KB by default and 1 MB at most.
+    """
+    tracked = min(MOST_TRACKED, 1 << math.ceil(math.log2(max(HOT_TRACKED, 14 / share))))
+    return F.expr(f"approx_top_k(`{key}`, {min(tracked, math.ceil(2 / share))}, {tracked})")
 
 
-def hot_keys_of(metric: list | None, rows: int) -> list:
-    """The keys of ``hot_keys_seen`` that reach the share: at most 1/HOT_SHARE, but for the sketch's error twice as many."""
-    return [r.item for r in metric or [] if r.item is not None and r["count"] >= HOT_SHARE / 2 * rows]
+def hot_keys_of(metric: list | None, rows: int, share: float = HOT_SHARE) -> dict:
+    """The keys of ``hot_keys_seen`` with at least half the share, and about how many rows they have: at most 2/share."""
+    return {r.item: r["count"] for r in metric or [] if r.item is not None and r["count"] >= share / 2 * rows}
 
 
-def look_up(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+def look_up(left: DataFrame, right: DataFrame, key: str, hot: Iterable) -> DataFrame:
     """left joined (left outer) with right, which has one row for a key.
 
     Rows of left with a hot key meet a broadcast of right's rows for these few, all others an ordinary shuffle, so that
     a key that most rows have doesn't gather them in one task.
     """
+    hot = list(hot)
     if not hot:
         return left.join(right, key, "left")
     is_hot = F.col(key).isin(hot)

@@ -20,7 +20,8 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256
     spark = graph.edges.sparkSession
     ws = Workspace(spark, "betweenness")
     e = graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    out, back = parted(e, "src"), parted(e.select("src", "dst", "m"), "dst")
+    out = parted(ws, e, "src", "out")
+    back = parted(ws, out.table, "dst", "back")
     if sources is None:
         sources = graph.vertices()
     asked, got = ws.save_counted(sources.groupBy("id").agg(F.count(F.lit(1)).alias("times")), "sources")
@@ -29,20 +30,18 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256
     keys = ["s", "v"]
 
     def forward(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("v") == F.col("src")) & (F.col("level") == k)
         keep = F.struct("s", "v", "level", "sigma", F.lit(None).cast("double").alias("got"))
         send = F.struct("s", F.col("dst").alias("v"), F.lit(k + 1).alias("level"), F.lit(None).cast("double").alias("sigma"), (F.col("sigma") * F.col("m")).alias("got"))
-        met = superstep(state, out, on, keep, send, keys, [F.min("level").alias("level"), F.max("sigma").alias("sigma"), F.sum("got").alias("got")])
+        met = superstep(state, out, "v", F.col("level") == k, keep, send, keys, [F.min("level").alias("level"), F.max("sigma").alias("sigma"), F.sum("got").alias("got")])
         return met.select("s", "v", "level", F.coalesce("sigma", "got").alias("sigma"))  # who was there keeps its paths
 
     def backward(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("v") == F.col("dst")) & (F.col("level") == k)
         keep = F.struct("s", "v", "level", "sigma", "delta", F.lit(None).cast("double").alias("got"))
         part = F.col("m") * (1 + F.col("delta")) / F.col("sigma")
         none = F.lit(None).cast("double")
         send = F.struct("s", F.col("src").alias("v"), F.lit(None).cast("int").alias("level"), none.alias("sigma"), none.alias("delta"), part.alias("got"))
         most = [F.max(c).alias(c) for c in ("level", "sigma", "delta")]
-        met = superstep(state, back, on, keep, send, keys, [*most, F.sum("got").alias("got")])
+        met = superstep(state, back, "v", F.col("level") == k, keep, send, keys, [*most, F.sum("got").alias("got")])
         took = F.when(F.col("level") == k - 1, F.col("sigma") * F.coalesce("got", F.lit(0.0))).otherwise(F.col("delta"))
         return met.where("level is not null").select("s", "v", "level", "sigma", took.alias("delta"))
 

@@ -2,57 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.heavy_keys import look_up
 from ..workspace import Workspace
-from .supersteps import parted, run, superstep
+from .supersteps import Laid, parted, run, superstep
 
 
-def _trim(ws: Workspace, e: DataFrame, tag: str) -> tuple[DataFrame, int]:
-    """Edges left after vertices without in- or without out-edges have gone, again and again: those are alone."""
-    e, got = ws.save_counted(e, f"{tag}t0")
-    k = 0
-    while got["n"]:
-        k += 1
-        sides = e.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(2).alias("o")))).alias("x"))
-        keep = sides.groupBy(F.col("x.id").alias("id")).agg(F.bit_or("x.o").alias("o")).where("o = 3").select("id")
-        rest = e.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        left, now = ws.save_counted(rest.select("src", "dst"), f"{tag}t{k}")
-        ws.drop(f"{tag}t{k - 1}")
-        e, before, got = left, got["n"], now
-        if now["n"] == before:
-            break
-    return e, got["n"]
+def _trim(ws: Workspace, e: DataFrame, tag: str) -> DataFrame:
+    """Edges left after vertices without in- or without out-edges have gone, again and again: those are alone.
+
+    Every vertex that is left tells its neighbours on both sides that they have one, in supersteps.
+    """
+    row = lambda a, b, way: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(way).alias("way"))
+    ways = parted(ws, e.select(F.explode(F.array(row("src", "dst", 1), row("dst", "src", 2))).alias("x")).select("x.*"), "src", f"{tag}ways")
+    start = ways.table.select(F.col("src").alias("id")).distinct().select("id", F.lit(True).alias("there"), F.lit(True).alias("left"))
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        keep = F.struct("id", "there", F.lit(0).alias("way"))
+        send = F.struct(F.col("dst").alias("id"), F.lit(None).cast("boolean").alias("there"), "way")
+        got = superstep(state, ways, "id", F.col("there"), keep, send, ["id"], [F.max("there").alias("there"), F.bit_or("way").alias("way")])
+        both = F.col("there") & (F.col("way") == 3)
+        return got.select("id", both.alias("there"), (F.col("there") & ~both).alias("left"))
+
+    state, _ = run(ws, start, step, lambda k: F.col("left"), f"{tag}s")
+    ways.unpersist()
+    return _between(ways.table.where("way = 1").select("src", "dst"), state.where("there").select("id"), ways.hubs)
+
+
+def _between(e: DataFrame, ids: DataFrame, hot: Iterable[int], there: bool = True) -> DataFrame:
+    """The edges both of whose ends are among ids, or neither; hot: ids that very many edges have."""
+    for end in ("src", "dst"):
+        found = look_up(e, ids.select(F.col("id").alias(end), F.lit(True).alias("_there")), end, hot)
+        e = found.where(F.coalesce("_there", F.lit(False)) == there).select("src", "dst")
+    return e
 
 
-def _least_ahead(ws: Workspace, e: DataFrame, tag: str) -> DataFrame:
+def _least_ahead(ws: Workspace, own: Laid, tag: str) -> DataFrame:
     """(id, colour): the least id from which each vertex on an edge can be reached, itself included."""
-    own = parted(e, "src")
-    start = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("colour"), F.lit(True).alias("new"))
+    start = own.table.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select("id", F.col("id").alias("colour"), F.lit(True).alias("new"))
 
     def step(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("id") == F.col("src")) & F.col("new")
         keep = F.struct("id", "colour", F.col("colour").alias("old"))
         send = F.struct(F.col("dst").alias("id"), F.col("colour"), F.lit(None).cast("long").alias("old"))
-        got = superstep(state, own, on, keep, send, ["id"], [F.min("colour").alias("colour"), F.min("old").alias("old")])
+        got = superstep(state, own, "id", F.col("new"), keep, send, ["id"], [F.min("colour").alias("colour"), F.min("old").alias("old")])
         return got.select("id", "colour", (F.col("colour") < F.col("old")).alias("new"))
 
     colour, _ = run(ws, start, step, lambda k: F.col("new"), tag)
-    own.unpersist()
     return colour.select("id", "colour")
 
 
 def _reaching_roots(ws: Workspace, inside: DataFrame, colour: DataFrame, tag: str) -> DataFrame:
     """(id, colour) of vertices that reach their colour's root inside the colour; inside has edges turned round."""
-    own = parted(inside, "src")
+    own = parted(ws, inside, "src", f"{tag}inside")
     start = colour.where("id = colour").select("id", "colour", F.lit(0).alias("met"))
 
     def step(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("id") == F.col("src")) & (F.col("met") == k)
         send = F.struct(F.col("dst").alias("id"), F.col("colour"), F.lit(k + 1).alias("met"))
-        return superstep(state, own, on, F.struct("id", "colour", "met"), send, ["id"], [F.min("colour").alias("colour"), F.min("met").alias("met")])
+        keep = F.struct("id", "colour", "met")
+        return superstep(state, own, "id", F.col("met") == k, keep, send, ["id"], [F.min("colour").alias("colour"), F.min("met").alias("met")])
 
     found, _ = run(ws, start, step, lambda k: F.col("met") == k, tag)
     own.unpersist()
@@ -71,17 +83,18 @@ def strong_components(graph: Graph) -> DataFrame:
     found: list[DataFrame] = []
     k = 0
     while True:
-        e, n = _trim(ws, e, f"r{k}")
-        if not n:
+        own = parted(ws, _trim(ws, e, f"r{k}t"), "src", f"r{k}edges")
+        if not own.n:
             break
-        colour = _least_ahead(ws, e, f"r{k}c")
-        a, b = (colour.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}")) for end in ("src", "dst"))
-        coloured = e.join(a, "src").join(b, "dst")
-        inside = coloured.where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        own = _reaching_roots(ws, inside, colour, f"r{k}f")
-        found.append(own)
+        colour = _least_ahead(ws, own, f"r{k}c")
+        own.unpersist()
+        coloured = own.table
         for end in ("src", "dst"):
-            e = e.join(own.select(F.col("id").alias(end)), end, "left_anti")
+            coloured = look_up(coloured, colour.select(F.col("id").alias(end), F.col("colour").alias(f"_{end}")), end, own.hubs)
+        inside = coloured.where("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = _reaching_roots(ws, inside, colour, f"r{k}f")
+        found.append(roots)
+        e = _between(own.table, roots.select("id"), own.hubs, there=False)
         k += 1
     every = graph.vertices()
     if not found:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..operators.heavy_keys import hot_keys_of, hot_keys_seen, look_up
 from ..workspace import Workspace
+from .supersteps import parted
 
 #: Iterations that are planned together before the ranks are written.
 TOGETHER = 5
@@ -24,11 +26,11 @@ def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85, toleranc
     if not n:
         return spark.createDataFrame([], f"id long, rank {'float' if single else 'double'}")
     ws = Workspace(spark, "pagerank")
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    out = graph.view.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    e, seen = ws.save_counted(graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "edges", hot=hot_keys_seen("src"))
+    out = e.groupBy("src").agg(F.sum("m").alias("d"))
+    parts = look_up(e, out, "src", hot_keys_of(seen["hot"], seen["n"])).select("src", "dst", (F.col("m") / F.col("d")).alias("part"))
     # parted by src with a set number, so that every step's sums, shuffled by dst, meet them without another shuffle
-    links = e.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("part")).repartition(places, "src").persist()
+    links = parted(ws, parts, "src", "links")
     base = (1.0 - damping) / n
     state = None  # ranks of vertices with in-edges; all others have the base rank, at first 1/N
     done = 0
@@ -37,10 +39,9 @@ def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85, toleranc
         before = state
         for _ in range(1 if tolerance is not None else min(TOGETHER, steps - done)):
             if state is None:
-                flow = links.select("dst", (F.col("part") / n).alias("x"))
+                flow = links.edges.select("dst", (F.col("part") / n).alias("x"))
             else:
-                rank = state.select(F.col("id").alias("src"), "rank")
-                flow = links.join(rank, "src", "left").select("dst", (F.col("part") * F.coalesce("rank", F.lit(base))).alias("x"))
+                flow = links.meet(state.select("id", "rank"), "id", how="right").select("dst", (F.col("part") * F.coalesce("rank", F.lit(base))).alias("x"))
             state = flow.groupBy(F.col("dst").alias("id")).agg((F.lit(base) + F.lit(damping) * F.sum("x")).alias("rank"))
             done += 1
         state = ws.save(state, f"ranks{done}")

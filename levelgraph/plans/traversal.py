@@ -36,12 +36,11 @@ def bfs(graph: Graph, root: int = 0, edge_filter: Column | None = None, reverse:
     front = spark.createDataFrame([(root, 0)], "id long, level int")
     if on_level is not None:
         return _visited(ws, e.persist(), front, on_level)
-    e = parted(e, "src")
+    e = parted(ws, e, "src", "edges")
 
     def step(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("id") == F.col("src")) & (F.col("level") == k)
         keep, send = F.struct("id", "level"), F.struct(F.col("dst").alias("id"), F.lit(k + 1).alias("level"))
-        return superstep(state, e, on, keep, send, ["id"], [F.min("level").alias("level")])
+        return superstep(state, e, "id", F.col("level") == k, keep, send, ["id"], [F.min("level").alias("level")])
 
     found, _ = run(ws, front, step, lambda k: F.col("level") == k)
     e.unpersist()
@@ -91,14 +90,13 @@ def shortest_paths(graph: Graph, root: int = 0, weight: str | None = None, max_r
         require_columns(graph.edges, weight)
         w = F.col(weight).cast("double")
         e = graph.view.where(w.isNotNull() & ~F.isnan(w)).groupBy("src", "dst").agg(F.min(w).alias("w"))
-    e = parted(e, "src")
+    e = parted(ws, e, "src", "edges")
     start = spark.createDataFrame([(root, 0.0, True)], "id long, dist double, nearer boolean")
 
     def step(state: DataFrame, k: int) -> DataFrame:
-        on = (F.col("id") == F.col("src")) & F.col("nearer")
         keep = F.struct("id", "dist", F.col("dist").alias("old"))
         send = F.struct(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("old"))
-        got = superstep(state, e, on, keep, send, ["id"], [F.min("dist").alias("dist"), F.min("old").alias("old")])
+        got = superstep(state, e, "id", F.col("nearer"), keep, send, ["id"], [F.min("dist").alias("dist"), F.min("old").alias("old")])
         return got.select("id", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("nearer"))
 
     dist, _ = run(ws, start, step, lambda k: F.col("nearer"), limit=max_rounds or graph.max_nodes)

@@ -496,12 +496,15 @@ def tarjan_scc(spark, d):
     return components.strong_components(g_xs(spark, d))
 
 
-@add("scc_of_root", f"select a.id from ({_levels_sql(XS, 'xs', '(select min(src) from xs)', 1000)}) a join ({_levels_sql(f'{XS}, rev as (select dst as src, src as dst from xs)', 'rev', '(select min(src) from xs)', 1000)}) b using (id)")
-def scc_of_root(spark, d):
-    """The component of the least source."""
-    g, root = _root_xs(spark, d)
+_HUB = "(select src from xs group by 1 order by count(*) desc, src limit 1)"
+
+
+@add("scc_of_hub", f"select a.id from ({_levels_sql(XS, 'xs', _HUB, 1000)}) a join ({_levels_sql(f'{XS}, rev as (select dst as src, src as dst from xs)', 'rev', _HUB, 1000)}) b using (id)")
+def scc_of_hub(spark, d):
+    """The component of the vertex with the most out-edges: what it reaches and is reached from."""
+    g = g_xs(spark, d)
     found = components.strong_components(g).persist()
-    own = found.where(F.col("id") == root).first().component
+    own = found.join(g.top_degree(1), F.col("id") == F.col("node")).first().component
     return found.where(F.col("component") == own).select("id")
 
 

@@ -1,12 +1,13 @@
 import math
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from levelgraph import tasks
-from levelgraph.plans import betweenness, components, pagerank, traversal, triangles
+from levelgraph.plans import betweenness, components, pagerank, supersteps, traversal, triangles
+from levelgraph.workspace import Workspace
 
 from .conftest import rows
 from .test_graph import graph
@@ -33,11 +34,11 @@ def brute_bfs(edges, root):
     return level
 
 
-def brute_bc(edges, n):
+def brute_bc(edges, n, sources=None):
     to, bc = defaultdict(list), [0.0] * n
     for a, b in edges:
         to[a].append(b)
-    for s in range(n):
+    for s in range(n) if sources is None else sources:
         dist, sigma, order, q = {s: 0}, defaultdict(float, {s: 1.0}), [], deque([s])
         while q:
             v = q.popleft()
@@ -163,3 +164,32 @@ def test_task_registry(spark, tmp_path):
     with pytest.raises(ValueError):
         tasks.run("nothing", g)
     assert tasks.main(["ER(20, 60, 1)", "-r", "tarjan_scc", "-P", "0-2", "-o", str(tmp_path / "out")]) == 0
+
+
+def test_a_hub_is_spread_over_parts(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(1, 30)] + [(30, 0), (399, 500), (500, 399)]
+    g = graph(spark, edges)
+    ws = Workspace(spark, "test")
+    laid = supersteps.parted(ws, g.view.select("src", "dst"), "src", "laid")
+    assert set(laid.hubs) == {0} and laid.hubs[0] >= 2 and laid.edges.where("src = 0").select("_salt").distinct().count() == laid.hubs[0]
+    assert sorted((r.id, r.dst) for r in laid.meet(spark.range(32), "id", how="inner").select("id", "dst").collect()) == sorted(e for e in edges if e[0] < 32)
+    want = brute_bfs(edges, 1)
+    assert dict(rows(traversal.bfs(g, 1))) == want
+    assert {k: int(v) for k, v in rows(traversal.shortest_paths(g, 1))} == want
+    n, out, r = 501, Counter(a for a, _ in edges), [1 / 501] * 501
+    for _ in range(4):
+        new = [0.15 / n] * n
+        for a, b in edges:
+            new[b] += 0.85 * r[a] / out[a]
+        r = new
+    assert all(abs(x - r[i]) < 1e-12 for i, x in rows(pagerank.pagerank(g, 4)))
+    component = dict(rows(components.strong_components(g)))
+    assert all(component[v] == 0 for v in range(31)) and component[399] == component[500] == 399 and component[200] == 200
+    back = dict(rows(betweenness.betweenness(g, spark.createDataFrame([(1,)], "id long"))))
+    assert all(abs(back[v] - x) < 1e-9 for v, x in enumerate(brute_bc(edges, n, [1]))) and back[30] > 300
+
+
+def test_long_paths_are_trimmed_in_blocks(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(50, 51), (51, 52), (52, 50), (52, 0)]
+    want = {i: i for i in range(53)} | {51: 50, 52: 50}
+    assert dict(rows(components.strong_components(graph(spark, edges)))) == want
