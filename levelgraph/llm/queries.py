@@ -115,16 +115,9 @@ def p6_check(spark, sf_dir):
     return docs.join(containers, "capacity_name").select("capacity_name", "n_documents", "n_over", "n_split", "filled")
 
 
-#: Groups of sources that stand in for each other.
-DOMAINS = {
-    "course-archive": "teaching", "question-board": "teaching", "school-club": "teaching", "training-camp": "teaching",
-    "campus-mirror": "teaching", "lab-share": "research", "paper-extras": "research", "field-station": "research",
-    "code-forge": "code", "contest-dump": "code",
-}
-
-
 def _mix(spark, sf_dir, **more):
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), domains=DOMAINS, **more)
+    """The notebooks' kernel is their domain."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), domain="kernel", **more)
 
 
 @registry.add("p7_mixture")
@@ -147,6 +140,32 @@ def p7_shares_available(spark, sf_dir):
     return _mix(spark, sf_dir, total_tokens=AVAILABLE)[1]
 
 
+def _mix_check(spark, sf_dir, slack, **more):
+    """For each source whether its share is reached, within ``slack``, and no document used too often."""
+    mixture, report = _mix(spark, sf_dir, **more)
+    most = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses")).groupBy("source").agg(F.max("uses").alias("uses"))
+    both = report.join(most, "source", "left")
+    used_up = F.col("tokens") >= F.col("available_tokens") * F.col("max_repeat")
+    return both.select(
+        "source", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeat")).alias("repeats_kept"),
+        ((F.col("reached_share") >= F.col("target_share") - slack) | used_up).alias("share_reached"),
+    )
+
+
+_SOURCES = "select source, true as repeats_kept, true as share_reached from mix_target"
+
+
+@registry.add("p7_check", _SOURCES)
+def p7_check(spark, sf_dir):
+    return _mix_check(spark, sf_dir, 0.01)
+
+
+@registry.add("p7_check_available", _SOURCES)
+def p7_check_available(spark, sf_dir):
+    """A source below its share is used up."""
+    return _mix_check(spark, sf_dir, 0.01, total_tokens=AVAILABLE)
+
+
 def _levels(spark, sf_dir):
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
