@@ -94,7 +94,7 @@ _DROP = [
     (re.compile(r"<(style|script|table|pre|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I), " "),
     (re.compile(r"\$\$.*?(?:\$\$|\Z)", re.S), " "),
     (re.compile(r"\\begin\{(\w+\*?)\}.*?(?:\\end\{\1\}|\Z)", re.S), " "),
-    (re.compile(r"\$[^$\n]{1,400}\$"), " "),
+    (re.compile(r"\$(?=[^\s$])[^$\n]*(?<=[^\s$])\$(?!\d)"), " "),
     (re.compile(r"!\[[^\]\n]*\]\([^)\n]*\)?"), " "),
     (re.compile(r"^[ \t]*\[[^\]\n]*\]\([^)\n]*\)?[ \t]*$", re.M), ""),
     (re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),

@@ -185,3 +185,11 @@ def p8_profile(spark, sf_dir):
     """Documents and words of each language and level."""
     n = F.count(F.lit(1)).alias("n_documents")
     return _levels(spark, sf_dir).groupBy("lang", "reading_level").agg(n, F.sum("n_words").alias("n_words"))
+
+
+@registry.add("p8_check", "select count(*) as n_documents, 0 as n_wrong from documents")
+def p8_check(spark, sf_dir):
+    """Documents, and those whose level is out of range, or null with enough words, or set with too few."""
+    enough, level = F.col("n_words") >= 40, F.col("reading_level")
+    right = F.when(enough, level.isNotNull() & level.between(1, 5)).otherwise(level.isNull())
+    return _levels(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.when(right, 0).otherwise(1)).cast("int").alias("n_wrong"))

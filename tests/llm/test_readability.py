@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from levelgraph.llm.notebook_text import prose_paragraphs, text_cells
-from levelgraph.llm.readability import fit_cuts, grades, measure, reading_levels, syllables
+from levelgraph.llm.readability import MEASURES, fit_cuts, grade_of, grades, language_of, measure, reading_levels
+from levelgraph.llm.syllables import syllables
 from tests.conftest import rows
 
 PROSE = "The dog runs to the big house. We like it."
@@ -55,8 +56,46 @@ def test_syllables(word, lang, n):
 def test_harder_text_has_a_higher_grade():
     easy = "The cat sat. The dog ran. We see it. " * 5
     hard = "Notwithstanding the methodological considerations underlying multidimensional generalisation, practitioners operationalise heteroscedasticity. " * 5
-    a, b = (np.median(grades(np.array([measure(t)[1]], float)), axis=1)[0] for t in (easy, hard))
+    a, b = grade_of([measure(t) for t in (easy, hard)])
     assert a < 3 < 15 < b
+    assert np.isnan(grade_of([measure("")])[0])
+
+
+def test_published_formulas():
+    m = np.array([[100, 5, 150, 470, 25, 12, 60]], float)
+    assert len(m[0]) == len(MEASURES)
+    en, de, es, fr = (grades(m, k)[0] for k in ("en", "de", "es", "fr"))
+    assert np.allclose(en, [0.39 * 20 + 11.8 * 1.5 - 15.59, 0.4 * 32, 1.0430 * np.sqrt(72) + 3.1291, 0.0588 * 470 - 0.296 * 5 - 15.8, 4.71 * 4.7 + 10 - 21.43, 10 + 0.5 / 0.8])
+    assert np.allclose(de[1:3], [0.1935 * 12 + 0.1672 * 20 + 0.1297 * 25 - 0.0327 * 60 - 0.875, np.sqrt(72) - 2])
+    assert np.allclose([de[0], es[0], fr[0]], [7 + (75 - 72.25) * 0.15, 5 - 0.1 * (96.44 - 95), 7 - 0.1 * (76.3 - 75)], atol=1e-6)
+    assert np.allclose(es[1], -0.205 * 5 + 0.049 * 150 - 3.407)
+
+
+def test_languages():
+    texts = {
+        "en": "It was the best of times and there was no one who would not say so.",
+        "de": "Die Frau hat das Buch auf den Tisch gelegt, und dann ist sie mit dem Kind nach Hause gegangen.",
+        "es": "La casa está en el centro de la ciudad y desde ella se ve el río cuando hay sol.",
+        "fr": "La maison est dans une petite rue et les enfants qui jouent ne sont pas encore fatigués.",
+    }
+    others = [
+        "Il ragazzo che abita nella casa è andato con la sorella alla stazione, ma non ha più trovato il treno.",
+        "De jongen die in het huis woont is met zijn zus naar het station gegaan, maar hij heeft de trein niet gezien.",
+        "O menino que mora na casa não foi com a irmã para a estação, mas ele também já está no trem.",
+        "Мальчик пошёл с сестрой на вокзал, но поезда там уже не было.", "我们今天去学校。天气很好！", "zzz qqq xxx",
+    ]
+    words = lambda t: [w.strip(",.") for w in t.lower().split()]
+    assert {k: language_of(words(t)) for k, t in texts.items()} == {k: k for k in texts}
+    assert {language_of(words(t)) for t in others} == {"und"} and language_of([]) == "und"
+    lang, m = measure("我们今天去学校。天气很好！")
+    assert (lang, m[0], m[1]) == ("und", 11, 2)
+
+
+def test_formulas_of_any_length_are_no_prose():
+    long = "$" + "x_{1} + alpha beta " * 60 + "y$"
+    assert prose_paragraphs(f"# T\n\nBefore {long} after.") == ["Before after."]
+    assert prose_paragraphs("It costs $5 in one shop and $6 in another.") == ["It costs $5 in one shop and $6 in another."]
+    assert prose_paragraphs("Let $a$ and $b+c$ be small.") == ["Let and be small."]
 
 
 def test_cuts_survive_wrong_labels():
