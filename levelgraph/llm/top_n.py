@@ -23,6 +23,8 @@ from ..workspace import Workspace
 
 #: Row groups, the unit that is read or skipped, that a table is cut into, and bounds on the rows of one.
 ROW_GROUPS, LEAST_ROWS, MOST_ROWS = 2000, 1024, 1_000_000
+#: Parts that one row which is repeated very often may be spread over.
+SALTS = 1024
 #: Rows that are read at once.
 SLICE = 500_000
 
@@ -46,7 +48,7 @@ def cluster(scored: DataFrame, ws: Workspace, tag: str, rows: int) -> list[str]:
     Range parts split a hot group between its scores and items, and a row that is repeated very often by a salt.
     """
     order = [F.col("grp"), F.desc("score"), F.col("item"), F.col("_salt")]
-    salted = scored.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     laid = salted.repartitionByRange(*order).sortWithinPartitions(*order).drop("_salt")
     ws.save(laid, tag, **{"parquet.block.row.count.limit": str(rows), "parquet.page.row.count.limit": str(rows)})
     return ws.files(tag)
