@@ -42,13 +42,16 @@ def _strip(arcs: DataFrame, k: int) -> DataFrame:
     parents stay.
     """
     degrees = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("d"), F.min("dst").alias("a"), F.max("dst").alias("b"))
-    rank = F.struct((F.col("d") == 1).alias("leaf"), F.xxhash64("src", F.lit(k)).alias("draw"))
-    low = degrees.where("d <= 2").select("src", "a", "b", rank.alias("rank"))
-    told = low.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("src"), F.col("rank").alias("heard"))
-    none = F.lit(None)
+    # one number, so that it is combined by hashing: leaves above all others; of two equal draws neither leaves
+    draw = F.xxhash64("src", F.lit(k)).bitwiseAND(F.lit((1 << 61) - 1))
+    low = degrees.where("d <= 2").select("src", "a", "b", F.when(F.col("d") == 1, F.lit(1 << 61)).otherwise(F.lit(0)).cast("long").bitwiseOR(draw).alias("rank"))
+    none = F.lit(None).cast("long")
+    own = F.struct("src", "a", "b", "rank", none.alias("heard"))
+    tell = lambda to: F.struct(F.col(to).alias("src"), none.alias("a"), none.alias("b"), none.alias("rank"), F.col("rank").alias("heard"))
+    told = F.when(F.col("a") == F.col("b"), F.array(own, tell("a"))).otherwise(F.array(own, tell("a"), tell("b")))
     heard = (
-        low.select("src", "a", "b", "rank", none.cast(told.schema["heard"].dataType).alias("heard"))
-        .unionByName(told.select("src", none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast(low.schema["rank"].dataType).alias("rank"), "heard"))
+        low.select(F.explode(told).alias("e"))
+        .select("e.*")
         .groupBy("src")
         .agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("rank").alias("rank"), F.max("heard").alias("heard"))
         .where("rank is not null and (heard is null or rank > heard)")
@@ -101,22 +104,29 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": pa.array(ids, pa.int64()), "root": pa.array(ids[root], pa.int64())})
 
 
-def _point(ws: Workspace, pointers: DataFrame, hot: list) -> DataFrame:
+def _point(ws: Workspace, pointers: DataFrame, hot: dict) -> DataFrame:
     """(v, root) of pointers (v, parent), whose parents lead to roots: each round doubles the way that a pointer goes.
 
-    Pointers whose parent is a root don't move any more. Their number of rounds is the logarithm of the rounds of removal.
+    Only vertices that are parents themselves take part, as no other is on a way; the others look up theirs in the end.
+    Pointers whose parent is a root don't move any more. The rounds are the logarithm of those of removal.
     """
-    settled, moving, k = None, pointers, 0
-    while True:
-        ahead = pointers.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
-        moved = look_up(moving, ahead, "parent", hot).select("v", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("on"))
-        moved, seen = ws.save_counted(moved, f"pointers{k}", on=F.sum(F.col("on").cast("long")), hot=hot_keys_seen("parent"))
+    inner = pointers.join(pointers.select(F.col("parent").alias("v")).distinct(), "v", "left_semi")
+    inner, seen = ws.save_counted(inner, "inner", hot=hot_keys_seen("parent"))
+    settled, moving, k, ahead = None, inner, 0, inner
+    while seen["n"]:
+        ways = ahead.select(F.col("v").alias("parent"), F.col("parent").alias("next"))
+        moved = look_up(moving, ways, "parent", hot_keys_of(seen["hot"], seen["n"])).select("v", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("on"))
+        moved, seen = ws.save_counted(moved, f"inner{k}", on=F.sum(F.col("on").cast("long")), hot=hot_keys_seen("parent"))
         done = moved.where("not on").select("v", "parent")
         settled = done if settled is None else settled.unionByName(done)
         if not seen["on"]:
-            return settled.withColumnRenamed("parent", "root")
+            break
         moving = moved.where("on").select("v", "parent")
-        pointers, hot, k = settled.unionByName(moving), hot_keys_of(seen["hot"], seen["n"]), k + 1
+        ahead, k = settled.unionByName(moving), k + 1
+    if settled is None:
+        return pointers.withColumnRenamed("parent", "root")
+    roots = settled.select(F.col("v").alias("parent"), F.col("parent").alias("root"))
+    return look_up(pointers, roots, "parent", hot).select("v", F.coalesce("root", "parent").alias("root"))
 
 
 def connected_groups(pairs: DataFrame, tail: str = "tail", head: str = "head", finish_arcs: int = FINISH_ARCS) -> DataFrame:
@@ -135,7 +145,7 @@ def _groups(pairs: DataFrame, tail: str, head: str, finish_arcs: int) -> tuple[D
     spark = pairs.sparkSession
     ws = Workspace(spark, "groups")
     ends = F.explode(F.array(F.col(tail).cast("long"), F.col(head).cast("long"))).alias("node")
-    nodes = pairs.select(ends).where("node is not null").distinct()
+    nodes = pairs.select(ends).where("node is not null")
     arcs, seen = ws.save_counted(_arcs(pairs, tail, head), "arcs")
     removed: list[DataFrame] = []
     n, rounds = seen["n"], {"strip": 0, "mate": 0, "finish": 0}
@@ -169,7 +179,9 @@ def _groups(pairs: DataFrame, tail: str, head: str, finish_arcs: int) -> tuple[D
         pointers = pointers.unionByName(gone)
     pointers, seen = ws.save_counted(pointers, "pointers", hot=hot_keys_seen("parent"))
     roots = _point(ws, pointers, hot_keys_of(seen["hot"], seen["n"])) if seen["n"] else pointers.withColumnRenamed("parent", "root")
-    rooted = nodes.join(roots.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    # every id once, with its root if it has one besides itself
+    every = nodes.select("node", F.lit(None).cast("long").alias("root")).unionByName(roots.select(F.col("v").alias("node"), "root"))
+    rooted = every.groupBy("node").agg(F.max("root").alias("root")).select("node", F.coalesce("root", "node").alias("root"))
     rooted, seen = ws.save_counted(rooted, "rooted", hot=hot_keys_seen("root"))
     least = rooted.groupBy("root").agg(F.min("node").alias("group_id"))
     return look_up(rooted, least, "root", hot_keys_of(seen["hot"], seen["n"])).select("group_id", "node"), rounds
