@@ -62,8 +62,10 @@ def degree_order_ids(edges: DataFrame) -> DataFrame:
 
 def shuffle_edges(edges: DataFrame, seed: int, limit: int | None = None) -> DataFrame:
     """Edges in random order, which the seed and their content settle; at most ``limit`` of them."""
-    mixed = edges.orderBy(F.xxhash64(*edges.columns, F.lit(seed)), *edges.columns)
-    return mixed if limit is None else mixed.limit(limit)
+    drawn = edges.withColumn("_draw", F.xxhash64(*edges.columns, F.lit(seed)))
+    if limit is not None:  # numbered, as a limit would gather them in one task
+        drawn = with_row_number(drawn, ["_draw", *edges.columns], "_n").where(F.col("_n") <= limit)
+    return drawn.orderBy("_draw", *edges.columns).select(*edges.columns)
 
 
 def split_edges(edges: DataFrame, shares: list[float], seed: int, keep_pairs: bool = False) -> list[DataFrame]:

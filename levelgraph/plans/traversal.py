@@ -62,6 +62,13 @@ def _visited(ws: Workspace, e: DataFrame, front: DataFrame, on_level: Callable[[
         seen = seen.unionByName(front)
 
 
+def sweep_back(levels: DataFrame, visit: Callable[[DataFrame, int], None]) -> None:
+    """Shows the levels of a search to a visitor, the deepest first: (its rows, level)."""
+    deepest = levels.agg(F.max("level")).first()[0]
+    for k in range(-1 if deepest is None else deepest, -1, -1):
+        visit(levels.where(F.col("level") == k), k)
+
+
 def bfs_count(graph: Graph, root: int = 0) -> DataFrame:
     """(n_reached): vertices that root reaches over out-edges, itself among them."""
     return bfs(graph, root).agg(F.count(F.lit(1)).alias("n_reached"))
@@ -118,12 +125,27 @@ def all_distances(graph: Graph, distances: DataFrame, unreachable: int | None =
 MOST_DFS_EDGES = 20_000_000
 
 
+def dfs_events(graph: Graph, root: int = 0, reverse: bool = False, navigator: Callable[[int], bool] | None = None) -> DataFrame:
+    """(tick, id, event): when each vertex is entered and left in the walk of ``dfs``, by one clock from 0.
+
+    A vertex of depth d is entered after pre vertices, of which all but its d ancestors have been left.
+    """
+    walk = _walk(graph, root, reverse, navigator)
+    event = lambda tick, name: F.struct(tick.alias("tick"), F.col("id"), F.lit(name).alias("event"))
+    both = F.array(event(2 * F.col("pre") - F.col("depth"), "enter"), event(2 * F.col("post") + F.col("depth") + 1, "leave"))
+    return walk.select(F.explode(both).alias("e")).select("e.*")
+
+
 def dfs(graph: Graph, root: int = 0, reverse: bool = False, navigator: Callable[[int], bool] | None = None) -> DataFrame:
     """(id, parent, pre, post): depth-first order from root, neighbours in ascending order, numbers from 0.
 
     navigator tells whether to enter a vertex. The order is one of a single walk, so the edges go to one task; a
     ValueError tells if they are more than MOST_DFS_EDGES.
     """
+    return _walk(graph, root, reverse, navigator).drop("depth")
+
+
+def _walk(graph: Graph, root: int, reverse: bool, navigator: Callable[[int], bool] | None) -> DataFrame:
     _checked(graph, root)
     e = (graph.reverse() if reverse else graph).view.select("src", "dst").distinct()
     if e.limit(MOST_DFS_EDGES + 1).count() > MOST_DFS_EDGES:
@@ -134,14 +156,14 @@ def dfs(graph: Graph, root: int = 0, reverse: bool = False, navigator: Callable[
         for p in parts:
             for a, b in zip(p["src"].tolist(), p["dst"].tolist()):
                 to.setdefault(a, []).append(b)
-        rows: dict[int, list] = {root: [None, 0, 0]}
+        rows: dict[int, list] = {root: [None, 0, 0, 0]}
         clock, done = 1, 0
         stack = [(root, iter(sorted(to.get(root, ()))))]
         while stack:
             v, rest = stack[-1]
             for u in rest:
                 if u not in rows and (navigator is None or navigator(u)):
-                    rows[u] = [v, clock, 0]
+                    rows[u] = [v, clock, 0, len(stack)]
                     clock += 1
                     stack.append((u, iter(sorted(to.get(u, ())))))
                     break
@@ -149,6 +171,6 @@ def dfs(graph: Graph, root: int = 0, reverse: bool = False, navigator: Callable[
                 rows[v][2] = done
                 done += 1
                 stack.pop()
-        yield pd.DataFrame([(k, *r) for k, r in rows.items()], columns=["id", "parent", "pre", "post"]).astype({"parent": "Int64"})
+        yield pd.DataFrame([(k, *r) for k, r in rows.items()], columns=["id", "parent", "pre", "post", "depth"]).astype({"parent": "Int64"})
 
-    return e.coalesce(1).mapInPandas(walk, "id long, parent long, pre long, post long")
+    return e.coalesce(1).mapInPandas(walk, "id long, parent long, pre long, post long, depth long")

@@ -10,7 +10,7 @@ from ..operators.mutation import Delta, set_edge_property, set_node_property
 from ..store import Store
 from ..workspace import Workspace
 from . import Registry, table
-from .projections import EV, XS, g_ev, g_xs
+from .projections import CP, EV, XS, g_cp, g_ev, g_xs
 
 registry = Registry()
 add = registry.add
@@ -129,6 +129,34 @@ def node_property_add(spark, d):
     return set_node_property(g, more, "age", level=7, add=True).node_property("age")
 
 
+@add("load_append", f"""with {CP} select src, dst, 0 as created_level, count(*) as n from cp group by 1, 2
+union all select dst, src, 1, 1 from (select distinct src, dst from cp)""")
+def load_append(spark, d):
+    """A file becomes a stored graph, and another one, turned round and without duplicates, its next level."""
+    from ..sources.registry import append
+    from ..sources.snap import write_snap
+
+    ws = Workspace(spark, "files")
+    e = g_cp(spark, d).edges
+    write_snap(e, ws.path("first.net"))
+    write_snap(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ws.path("second.net"))
+    store = Store(spark, ws.path("db"))
+    append(store, ws.path("first.net"))
+    g = append(store, ws.path("second.net"), deduplicate=True)
+    return g.view.groupBy("src", "dst", "created_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("load_first_edges", f"with {EV} select src, dst from ev where edge_id <= 500")
+def load_first_edges(spark, d):
+    """The first records of a file in its own order."""
+    from ..sources.registry import load
+    from ..sources.xs1 import write_xs1
+
+    path = Workspace(spark, "files").path("edges.xs1")
+    write_xs1(_ev(spark, d).orderBy("edge_id"), path)
+    return load(spark, path, max_edges=500).view.select("src", "dst")
+
+
 @add("load_fgf", """select n_nationkey::bigint as src, (25 + n_regionkey)::bigint as dst, n_name as name, 'in' as edge_kind from nation""")
 def load_fgf(spark, d):
     """Nations and their regions as a binary property graph, written and loaded."""

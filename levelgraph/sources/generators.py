@@ -22,7 +22,10 @@ def erdos_renyi(spark: SparkSession, nodes: int, edges: int, seed: int = 0) -> D
 
 
 def rmat(spark: SparkSession, scale: int, degree: float, a: float = 0.57, b: float = 0.19, c: float = 0.19, seed: int = 0) -> DataFrame:
-    """(src, dst): round(degree * 2^scale) edges, each by ``scale`` choices of a quadrant with 5 % noise on its chances."""
+    """(src, dst): round(degree * 2^scale) edges, each by ``scale`` choices of a quadrant.
+
+    Noise of 5 % on its chances adds up from one choice to the next; the first has none.
+    """
     if not 1 <= scale <= 31:
         raise ValueError("scale must lie in 1..31")
     if min(a, b, c) < 0 or a + b + c > 1:
@@ -35,9 +38,12 @@ def rmat(spark: SparkSession, scale: int, degree: float, a: float = 0.57, b: flo
             same = lambda x: np.broadcast_to(np.int64(x), len(ids))
             draw = lambda k: (np_xxhash64(ids, same(seed), same(k)).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
             src, dst = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            noisy = np.repeat(chances[:, None], len(ids), axis=1)
             for bit in range(scale):
-                noisy = chances[:, None] * (0.95 + 0.1 * np.array([draw(8 * bit + q) for q in range(4)]))
-                upto = np.cumsum(noisy / noisy.sum(axis=0), axis=0)
+                if bit:
+                    noisy = noisy * (0.95 + 0.1 * np.array([draw(8 * bit + q) for q in range(4)]))
+                    noisy /= noisy.sum(axis=0)
+                upto = np.cumsum(noisy, axis=0)
                 quadrant = (draw(8 * bit + 4) >= upto[:3]).sum(axis=0)
                 src, dst = (src << 1) | (quadrant >> 1), (dst << 1) | (quadrant & 1)
             yield pa.RecordBatch.from_pydict({"src": pa.array(src), "dst": pa.array(dst)})
@@ -45,7 +51,7 @@ def rmat(spark: SparkSession, scale: int, degree: float, a: float = 0.57, b: flo
     return spark.range(round(degree * 2**scale)).mapInArrow(make, "src long, dst long")
 
 
-_SPEC = re.compile(r"\s*(ER|RMAT)\s*\(([^()]*)\)\s*", re.I)
+_SPEC = re.compile(r"\s*(ER|ErdosRenyi|Erdos-Renyi|RMAT|R-MAT)\s*\(([^()]*)\)\s*", re.I)
 
 
 def is_spec(text: str) -> bool:
@@ -53,12 +59,12 @@ def is_spec(text: str) -> bool:
 
 
 def from_spec(spark: SparkSession, text: str) -> DataFrame:
-    """ER(nodes, edges [, seed]) or RMAT(scale, degree [, a, b, c [, seed]])."""
+    """ER(nodes, edges [, seed]) or RMAT(scale, degree [, a, b, c [, seed]]); also ErdosRenyi(...) and R-MAT(...)."""
     m = _SPEC.fullmatch(text)
     if not m:
         raise ValueError(f"not a generator: {text}")
     args = [x.strip() for x in m[2].split(",")]
-    if m[1].upper() == "ER":
+    if m[1].upper().startswith("E"):
         if len(args) not in (2, 3):
             raise ValueError("ER takes 2 or 3 numbers")
         return erdos_renyi(spark, *map(int, args))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD = np.dtype([("tail", "<u4"), ("head", "<u4"), ("weight", "<f4")])
-#: Records that one task reads at a stretch.
-STRETCH = 4_000_000
+#: Records that one task reads at a stretch, or more, where there would be more than so many stretches.
+STRETCH, MOST_STRETCHES = 4_000_000, 20_000
 
 
 def _open(address: str) -> tuple[pafs.FileSystem, str]:
@@ -43,22 +43,24 @@ def read_ini(address: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, _, v in (x.partition("=") for x in lines if "=" in x)}
 
 
-def read_xs1(spark: SparkSession, address: str, weights: bool = True) -> DataFrame:
+def read_xs1(spark: SparkSession, address: str, weights: bool = True, place: bool = False) -> DataFrame:
     """(src, dst, weight) of a file, or of the .xs1 and .dat files of a folder, in stretches that tasks share out.
 
     ValueError for a size that isn't whole records, or a sidecar that names another type. Records are read as they are:
-    repeated ones and NaN weights stay.
+    repeated ones and NaN weights stay. place: also ``_place``, by which the records come in the order of the files.
     """
     rows = []
-    for path, size in _files(address):
+    files = _files(address)
+    stretch = max(STRETCH, -(-sum(size for _, size in files) // (RECORD.itemsize * MOST_STRETCHES)))
+    for path, size in files:
         kind = read_ini(address if address.endswith(path) else path).get("type", "1")
         if kind != "1":
             raise ValueError(f"{path}: type {kind} isn't supported")
         if size % RECORD.itemsize:
             raise ValueError(f"{path}: {size} bytes are not whole records")
         n = size // RECORD.itemsize
-        rows += [(path, lo, min(STRETCH, n - lo)) for lo in range(0, n, STRETCH)]
-    columns = "src long, dst long" + ", weight float" * weights
+        rows += [(path, lo, min(stretch, n - lo)) for lo in range(0, n, stretch)]
+    columns = "src long, dst long" + ", weight float" * weights + ", _place struct<file: string, record: bigint>" * place
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,7 +70,10 @@ def read_xs1(spark: SparkSession, address: str, weights: bool = True) -> DataFra
                     f.seek(lo * RECORD.itemsize)
                     r = np.frombuffer(f.read(n * RECORD.itemsize), RECORD)
                 cols = [pa.array(r["tail"].astype(np.int64)), pa.array(r["head"].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(r["weight"])] * weights, names=["src", "dst", "weight"][: 2 + weights])
+                cols += [pa.array(r["weight"])] * weights
+                if place:
+                    cols.append(pa.StructArray.from_arrays([pa.array([path] * len(r)), pa.array(np.arange(lo, lo + len(r)))], names=["file", "record"]))
+                yield pa.RecordBatch.from_arrays(cols, names=["src", "dst", *["weight"] * weights, *["_place"] * place])
 
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["path", "first", "n"]) if rows else [], "path string, first long, n long")
     return plan.repartition(max(1, len(rows))).mapInArrow(read, columns) if rows else plan.limit(0).mapInArrow(read, columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import argparse
 import csv
 import json
+import platform
+import resource
 import statistics
 import time
 from collections.abc import Callable
@@ -84,6 +86,7 @@ class Run:
     result: DataFrame
     scalar: float | None
     seconds: list[float] = field(default_factory=list)
+    used: dict[str, float] = field(default_factory=dict)  # of the driver process, over all repetitions
 
     def stats(self) -> dict[str, float]:
         dev = statistics.pstdev(self.seconds)
@@ -98,6 +101,8 @@ class Run:
             w = csv.writer(f)
             w.writerow(["task", "scalar", *self.stats()])
             w.writerow([self.name, self.scalar, *self.stats().values()])
+            w.writerow(["host", "python", "began", *self.used])
+            w.writerow([platform.node(), platform.python_version(), time.strftime("%Y-%m-%dT%H:%M:%S"), *self.used.values()])
             w.writerow(["iteration", "seconds"])
             w.writerows(enumerate(self.seconds))
 
@@ -106,7 +111,7 @@ def run(name: str, graph: Graph, repeat: int = 1, **options) -> Run:
     """Runs a registered task; ValueError for an unknown name, or a property that the graph lacks."""
     if name not in TASKS:
         raise ValueError(f"no task {name}; there are {sorted(TASKS)}")
-    t, seconds = TASKS[name], []
+    t, seconds, before = TASKS[name], [], resource.getrusage(resource.RUSAGE_SELF)
     for _ in range(max(1, repeat)):
         began = time.perf_counter()
         result = t.run(graph, **options)
@@ -114,14 +119,17 @@ def run(name: str, graph: Graph, repeat: int = 1, **options) -> Run:
         if scalar is None:
             result.write.format("noop").mode("overwrite").save()
         seconds.append(time.perf_counter() - began)
-    return Run(name, result, scalar, seconds)
+    after = resource.getrusage(resource.RUSAGE_SELF)
+    used = {k: getattr(after, f"ru_{k}") - getattr(before, f"ru_{k}") for k in ("utime", "stime", "minflt", "majflt", "inblock", "oublock")}
+    return Run(name, result, scalar, seconds, used)
 
 
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
-    from .sources.registry import DIRECTIONS, load
+    from .sources.registry import DIRECTIONS, append, load
     from .store import Store, flatten
+    from .streaming import windows
 
     p = argparse.ArgumentParser(prog="python -m levelgraph.tasks", description="Loads edge files, a level each, and runs a task on them.")
     p.add_argument("files", nargs="*", help="edge files, folders, or generators such as 'RMAT(10, 8)'")
@@ -135,6 +143,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-l", "--levels", help="N or N-M")
     p.add_argument("--direction", choices=sorted(DIRECTIONS), default="directed")
     p.add_argument("--max-edges", type=int)
+    p.add_argument("--part", help="K/N: the K-th of N stretches of each file, from 0")
+    p.add_argument("-I", "--incremental", action="store_true", help="add the files to the database as its next levels")
+    p.add_argument("-B", "--batch", type=int, help="replay the edges as a stream of batches of so many, in order of their ids")
+    p.add_argument("-W", "--window", type=int, default=10, help="batches that a task sees")
+    p.add_argument("-M", "--max-batches", type=int)
     p.add_argument("--flatten", help="folder for the graph as one level")
     p.add_argument("-P", "--print", dest="show", help="adjacency of ids N or N-M")
     p.add_argument("-C", "--compare", nargs="+", help="files to compare with")
@@ -145,7 +158,13 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     low, high = span(a.levels) if a.levels and "-" in a.levels else (None, span(a.levels)[1])
     how = {"direction": a.direction, "deduplicate": a.deduplicate, "properties": not a.no_properties, "max_edges": a.max_edges}
-    if a.files:
+    if a.part:
+        how["part"] = tuple(map(int, a.part.split("/")))
+    if a.incremental:
+        if not (a.files and a.database):
+            p.error("an incremental load takes files and a database")
+        graph = append(Store(spark, a.database), *a.files, direction=a.direction, deduplicate=a.deduplicate, properties=not a.no_properties)
+    elif a.files:
         graph = load(spark, *a.files, min_level=low, max_level=high, **how)
         if a.database:
             Store(spark, a.database).save(graph)
@@ -156,13 +175,19 @@ def main(argv: list[str] | None = None) -> int:
     if a.show:
         graph.adjacency(*span(a.show)).show(truncate=False)
     if a.compare:
-        n = inspect.cross_validate(graph, load(spark, *a.compare, **how)).count()
-        print(f"{n} edges differ")
-        if n:
+        other = load(spark, *a.compare, **how)
+        n, m = inspect.cross_validate(graph, other).count(), inspect.cross_validate_nodes(graph, other).count()
+        print(f"{n} edges and {m} nodes differ")
+        if n or m:
             return 1
     if a.flatten:
         Store(spark, a.flatten).save(flatten(graph))
-    if a.run:
+    if a.run and a.batch:
+        edges = windows.numbered_batches(graph.edges, ["edge_id"], a.batch)
+        seen = lambda g: run(a.run, g, a.count, iterations=a.iterations, root=a.root)
+        for k, done in windows.replay(edges, a.window, seen, a.max_batches):
+            print(json.dumps({"batch": k, "task": a.run, "scalar": done.scalar, **done.stats()}))
+    elif a.run:
         done = run(a.run, graph, a.count, iterations=a.iterations, root=a.root)
         print(json.dumps({"task": a.run, "scalar": done.scalar, **done.stats()}))
         if a.output:

@@ -73,6 +73,20 @@ def cross_validate(a: Graph, b: Graph) -> DataFrame:
     return left.groupBy(side.alias("missing_in"), "src", "dst").agg(F.sum(F.abs("n")).alias("n"))
 
 
+def cross_validate_nodes(a: Graph, b: Graph) -> DataFrame:
+    """(missing_in, id): vertices whose newest properties one graph has and the other doesn't; none if equal.
+
+    Properties that both have are compared; null equals null and NaN equals NaN. A graph without any has no rows.
+    """
+    if a.nodes is None or b.nodes is None:
+        return a.edges.sparkSession.createDataFrame([], "missing_in string, id long")
+    common = sorted(set(a.properties()["nodes"]) & set(b.properties()["nodes"]))
+    newest = lambda g: (g.nodes if g.level is None else g.nodes.where(F.col("level") <= g.level)).groupBy("id").agg(F.max(F.struct("level", *common)).alias("_n")).select("id", *[F.col(f"_n.{c}").alias(c) for c in common])
+    both = newest(a).withColumn("_k", F.lit(1)).unionByName(newest(b).withColumn("_k", F.lit(-1)))
+    left = both.groupBy("id", *common).agg(F.sum("_k").alias("_k")).where("_k <> 0")
+    return left.select(F.when(F.col("_k") > 0, "second").otherwise("first").alias("missing_in"), "id")
+
+
 def summary(values: DataFrame, name: str) -> DataFrame:
     """(n, mean, stdev, c95, least, most, total): population deviation and half the 95 % interval of the mean."""
     v = F.col(name)

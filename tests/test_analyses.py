@@ -193,3 +193,15 @@ def test_long_paths_are_trimmed_in_blocks(spark):
     edges = [(i, i + 1) for i in range(40)] + [(50, 51), (51, 52), (52, 50), (52, 0)]
     want = {i: i for i in range(53)} | {51: 50, 52: 50}
     assert dict(rows(components.strong_components(graph(spark, edges)))) == want
+
+
+def test_events_of_a_depth_first_search(spark):
+    g = graph(spark, [(0, 1), (1, 2), (0, 3), (3, 1), (2, 0)])
+    want = [(0, 0, "enter"), (1, 1, "enter"), (2, 2, "enter"), (3, 2, "leave"), (4, 1, "leave"), (5, 3, "enter"), (6, 3, "leave"), (7, 0, "leave")]
+    assert rows(traversal.dfs_events(g, 0)) == want
+
+
+def test_levels_swept_back(spark):
+    seen = []
+    traversal.sweep_back(traversal.bfs(graph(spark, PATH5), 1), lambda df, k: seen.append((k, rows(df, "id"))))
+    assert seen == [(3, [(4,)]), (2, [(3,)]), (1, [(2,)]), (0, [(1,)])]

@@ -261,6 +261,9 @@ def test_validation_and_dump(spark):
     a, b = graph(spark, [(0, 1), (0, 1), (1, 2)]), graph(spark, [(1, 2), (0, 1), (0, 3)])
     assert rows(inspect.cross_validate(a, a)) == []
     assert rows(inspect.cross_validate(a, b)) == [("first", 0, 3, 1), ("second", 0, 1, 1)]
+    c, d = (graph(spark, [(0, 1)], [(0, 0, 1), (0, 1, n), (1, 0, None)]) for n in (5, 6))
+    assert rows(inspect.cross_validate_nodes(c, c)) == [] == rows(inspect.cross_validate_nodes(c.at(0), d.at(0))) == rows(inspect.cross_validate_nodes(a, c))
+    assert rows(inspect.cross_validate_nodes(c, d)) == [("first", 0), ("second", 0)]
     assert rows(inspect.dump(a), "line") == [("0\t1 1\t--",), ("1\t2\t0 0",), ("2\t--\t1",)]
     got = inspect.edge_property_stats(graph(spark, [(0, 1, 0, 5), (0, 2, 0, 1), (1, 2, 0, float("nan"))]), "weight").first()
     assert (got.n, got.least, got.most, got.total, got["mean"]) == (2, 1.0, 5.0, 6.0, 3.0)

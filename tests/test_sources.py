@@ -4,7 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from levelgraph import tasks
 from levelgraph.sources import fgf, generators, registry, snap, xs1
+from levelgraph.store import Store
 
 from .conftest import rows
 
@@ -76,6 +78,45 @@ def test_generators(spark):
             generators.from_spec(spark, bad)
 
 
+def test_spellings_and_noise(spark):
+    assert rows(generators.from_spec(spark, "R-MAT(6, 4)")) == rows(generators.from_spec(spark, "rmat(6, 4)"))
+    assert rows(generators.from_spec(spark, "ErdosRenyi(9, 30, 2)")) == rows(generators.from_spec(spark, "ER(9, 30, 2)"))
+    e = generators.rmat(spark, 10, 60, seed=2)
+    first = e.where("src >= 512 and dst >= 512").count() / e.count()  # the first choice has no noise
+    assert abs(first - 0.05) < 0.005
+
+
+def test_first_edges_in_file_order(spark, tmp_path):
+    (tmp_path / "a.net").write_text("".join(f"{900 - i} {i}\n" for i in range(300)))
+    assert rows(registry.load(spark, str(tmp_path / "a.net"), max_edges=3).view, "src", "dst") == [(898, 2), (899, 1), (900, 0)]
+    xs1.write_xs1(spark.range(500, 0, -1).selectExpr("id as src", "1L as dst"), str(tmp_path / "b.xs1"))
+    assert rows(registry.load(spark, str(tmp_path / "b.xs1"), max_edges=2).view, "src") == [(499,), (500,)]
+
+
+def test_incremental_load(spark, tmp_path):
+    (tmp_path / "a.net").write_text("0 1\n0 1\n")
+    (tmp_path / "b.net").write_text("1 2\n1 2\n2 0\n")
+    store = Store(spark, str(tmp_path / "db"))
+    g = registry.append(store, str(tmp_path / "a.net"), str(tmp_path / "b.net"), deduplicate=True)
+    assert rows(g.view, "src", "dst", "created_level") == [(0, 1, 0), (1, 2, 1), (2, 0, 1)] and rows(g.at(0).view, "src") == [(0,)]
+    nodes = pd.DataFrame({"node_kind": ["x"] * 3, "age": [5, 6, 7]})
+    edges = pd.DataFrame({"src": [0], "dst": [1], "edge_kind": ["k"]})
+    fgf.write_fgf(edges, nodes, {"age": "int"}, str(tmp_path / "c.fgf"))
+    g = registry.append(store, str(tmp_path / "c.fgf"))  # its vertices are new ones
+    assert rows(g.within_level(2), "src", "dst") == [(3, 4)] and g.max_nodes == 6 and (5,) in rows(g.existing())
+    assert rows(g.node_property("age"))[3:] == [(3, 5), (4, 6), (5, 7)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.net").write_text("".join(f"{i % 3} {i % 4}\n" for i in range(10)))
+    a, db = str(tmp_path / "a.net"), str(tmp_path / "db")
+    assert tasks.main([a, "-d", db, "-I"]) == 0 and tasks.main([a, "-d", db, "-I"]) == 0 and Store(spark, db).levels() == [0, 1]
+    assert tasks.main([a, "-r", "bfs_count", "-B", "4", "-W", "2", "-M", "2", "-S", str(tmp_path / "s.csv")]) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if '"batch"' in x]
+    assert len(lines) == 2 and '"batch": 1' in lines[1]
+    assert tasks.main([a, "--part", "0/2", "-r", "bfs_count", "-S", str(tmp_path / "s.csv")]) == 0 and "utime" in (tmp_path / "s.csv").read_text()
+
+
 def test_loading_levels(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.net").write_text(f"{k} {k + 1}\n{k} {k + 1}\n0 0\n")
