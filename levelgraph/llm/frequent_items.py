@@ -198,12 +198,12 @@ def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.0
     columns: a name for each (table, column); all in one pass. Result: field_name, item (long for integer columns, else
     string), n_rows (exact), share, n_sketch (the lower estimate that identified it). Complete, not only likely so: a
     round ends with the rows of each group that its candidates don't explain, and groups where those reach the share go
-    into another round; a RuntimeError tells if they still do after ``max_rounds``. Null is no value; NaN and 0.0 are
-    values as Spark groups them; an empty table gives no rows. Memory: 12 KB for each of the GROUPS_EACH/share groups,
-    however many values there are.
+    into another round; the values of those that still do after ``max_rounds`` are counted one by one, in an ordinary
+    aggregation. Null is no value; NaN and 0.0 are values as Spark groups them; an empty table gives no rows. Memory: 12 KB
+    for each of the GROUPS_EACH/share groups of a column and task, however many values there are.
     """
-    if not 0 < share <= 1:
-        raise ValueError("share must lie in (0, 1]")
+    if not 0 < share <= 1 or max_rounds < 1:
+        raise ValueError("share must lie in (0, 1], and there is at least one round")
     spark = next(iter(columns.values()))[0].sparkSession
     ws = Workspace(spark, "frequent")
     groups = 1 << math.ceil(math.log2(GROUPS_EACH / share))
@@ -215,14 +215,15 @@ def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.0
         k = there.select(F.lit(name).alias("field_name"), _key64(df, c).alias("key"))
         v = there.select(F.lit(name).alias("field_name"), _key64(df, c).alias("key"), F.col(c).cast("long" if whole else "string").alias("item"))
         keyed, valued = (k, v) if keyed is None else (keyed.unionByName(k), valued.unionByName(v))
-    totals = {n: df.agg(F.count(c)).first()[0] for n, (df, c) in columns.items()}
-    least = {n: max(1, math.ceil(share * t - 1e-6)) for n, t in totals.items()}
     of = lambda x: F.coalesce(F.create_map(*[F.lit(v) for pair in x.items() for v in pair])[F.col("field_name")], F.lit(0))
-    need = of(least)
-    candidates, rest = None, keyed
+    candidates, rest, need = None, keyed, None
     for k in range(max_rounds):
         counted = rest.mapInArrow(_count_symbols(groups, k), _COUNTERS)
         counters = ws.save(counted.groupBy("field_name", "grp", "pos", "symbol").agg(F.sum("n").alias("n")), f"counters{k}")
+        if need is None:  # the first round's groups hold all rows
+            seen = counters.where("pos < 0").groupBy("field_name").agg(F.sum("n").alias("n")).collect()  # a row for each column
+            totals = dict.fromkeys(columns, 0) | {r.field_name: r.n for r in seen}
+            need = of({n: max(1, math.ceil(share * t - 1e-6)) for n, t in totals.items()})
         # only groups with enough rows can hold a frequent value: at most 1/share of them
         able = counters.where((F.col("pos") < 0) & (F.col("n") >= need)).select("field_name", "grp", F.col("n").alias("n_group"))
         body = counters.where("pos >= 0").join(F.broadcast(able), ["field_name", "grp"])
@@ -240,8 +241,9 @@ def frequent_items(columns: dict[str, tuple[DataFrame, str]], share: float = 0.0
         group = F.pmod(F.xxhash64("key", F.lit(k).cast("long")), F.lit(groups)).cast("int")
         rest = rest.withColumn("grp", group).join(F.broadcast(doubtful), ["field_name", "grp"], "left_semi").select("field_name", "key")
         rest = rest.join(keys, ["field_name", "key"], "left_anti")
-    else:
-        raise RuntimeError("some groups still hide a frequent value; try a larger share or more rounds")
+    else:  # the way that always ends: what the last doubtful groups still hold is counted value by value
+        left = rest.groupBy("field_name", "key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= need)
+        candidates = candidates.unionByName(ws.save(left.withColumn("n_sketch", F.col("n_rows")), "counted"), allowMissingColumns=True)
     total = of(totals)
     kept = candidates.where(F.col("n_rows") >= need)
     if whole:
