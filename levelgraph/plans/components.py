@@ -8,16 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.heavy_keys import look_up
+from ..operators.heavy_keys import hot_keys_of, hot_keys_seen, look_up
 from ..workspace import Workspace
 from .supersteps import Laid, parted, run, superstep
 
 
+#: Share of the edges that a layer must take for the next one to be taken by itself.
+LAYER = 0.1
+
+
 def _trim(ws: Workspace, e: DataFrame, tag: str) -> DataFrame:
     """Edges left after vertices without in- or without out-edges have gone, again and again: those are alone.
 
-    Every vertex that is left tells its neighbours on both sides that they have one, in supersteps.
+    Layers that take many edges are taken one by one, as each has fewer left. What is left then may have long paths: there
+    every vertex tells its neighbours on both sides that they have one, in supersteps.
     """
+    hot = {"a": hot_keys_seen("src"), "b": hot_keys_seen("dst")}
+    e, got = ws.save_counted(e, f"{tag}0", **hot)
+    k = 0
+    while got["n"]:
+        end = lambda c, way: F.struct(F.col(c).alias("id"), F.lit(way).alias("way"))
+        sides = e.select(F.explode(F.array(end("src", 1), end("dst", 2))).alias("x"))
+        both = sides.groupBy(F.col("x.id").alias("id")).agg(F.bit_or("x.way").alias("way")).where("way = 3").select("id")
+        many = hot_keys_of(got["a"], got["n"]) | hot_keys_of(got["b"], got["n"])
+        left, now = ws.save_counted(_between(e, both, many), f"{tag}{k + 1}", **hot)
+        ws.drop(f"{tag}{k}")
+        e, before, got, k = left, got["n"], now, k + 1
+        if now["n"] == before or not now["n"]:
+            return e
+        if now["n"] > (1 - LAYER) * before:
+            return _trim_paths(ws, e, f"{tag}p")
+    return e
+
+
+def _trim_paths(ws: Workspace, e: DataFrame, tag: str) -> DataFrame:
     row = lambda a, b, way: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(way).alias("way"))
     ways = parted(ws, e.select(F.explode(F.array(row("src", "dst", 1), row("dst", "src", 2))).alias("x")).select("x.*"), "src", f"{tag}ways")
     start = ways.table.select(F.col("src").alias("id")).distinct().select("id", F.lit(True).alias("there"), F.lit(True).alias("left"))
