@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.mutation import Delta, set_edge_property, set_node_property
+from ..operators.mutation import Delta, delete_by_visible_level, set_edge_property, set_node_property
 from ..store import Store
 from ..workspace import Workspace
 from . import Registry, table
@@ -129,6 +129,57 @@ def node_property_add(spark, d):
     return set_node_property(g, more, "age", level=7, add=True).node_property("age")
 
 
+@add("delete_by_level", f"with {EV} select src, dst, edge_id from ev where created_level <= 6 and not (edge_id % 9 = 0 and created_level <= 3)")
+def delete_by_level(spark, d):
+    """Old edges stop being visible at level 5, later ones after the level that is looked at."""
+    g = Graph(_ev(spark, d))
+    g = delete_by_visible_level(g, g.edges.where("edge_id % 9 = 0 and created_level <= 3"), 5)
+    g = delete_by_visible_level(g, g.edges.where("edge_id % 9 = 0"), 7)
+    return g.at(6).view.select("src", "dst", "edge_id")
+
+
+_PARTS = 6  # of the stream
+
+
+@add("stream_levels", f"""with {EV}, t as (select max(created_level) as top from ev),
+x as (select src, dst, floor(created_level * {_PARTS} / (top + 1))::int as part from ev, t)
+select src, dst, count(*) as weight, (max(part) - {_PARTS - 3})::int as latest from x where part >= {_PARTS - 3} group by 1, 2""")
+def stream_levels(spark, d):
+    """Edges arrive as files, a micro-batch each, become levels of a store, and leave it after three; its window's weights."""
+    from ..streaming.windows import stream_into, window_weights
+
+    ws = Workspace(spark, "stream")
+    e = _ev(spark, d)
+    top = e.agg(F.max("created_level")).first()[0]
+    for k in range(_PARTS):
+        part = e.where(F.floor(F.col("created_level") * _PARTS / (top + 1)) == k).select("src", "dst")
+        part.coalesce(1).write.mode("append").parquet(ws.path("arriving"))  # files are read in the order in which they came
+    source = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(ws.path("arriving"))
+    store = Store(spark, ws.path("db"))
+    query = stream_into(source, store, window=3, checkpoint=ws.path("progress"))
+    query.processAllAvailable()
+    query.stop()
+    last = store.levels()[-1]
+    weights = window_weights(store.open().window(last - 2, last))
+    return weights.select("src", "dst", "weight", (F.col("latest_level") - (last - 2)).cast("int").alias("latest"))
+
+
+@add("task_scalars", f"""with recursive {CP}, e as (select src, dst, min(weight)::double as w from cp group by 1, 2),
+r(it, id, dist) as (select 0, 0::bigint, 0.0::double
+    union all select it, id, min(dist) from (select it + 1 as it, id, dist from r where it < 30
+        union all select r.it + 1, e.dst, dist + w from r join e on e.src = r.id where r.it < 30) group by 1, 2)
+select 'sssp_weighted' as task, floor(max(dist))::double as scalar from r where it = 30
+union all select 'bfs_count', count(*) from r where it = 30
+union all select 'edge_prop_stats', round(avg(weight), 9) from cp""")
+def task_scalars(spark, d):
+    """Registered tasks, run by name."""
+    from .. import tasks
+
+    g = g_cp(spark, d)
+    made = [(n, float(tasks.run(n, g, root=0).scalar)) for n in ("sssp_weighted", "bfs_count", "edge_prop_stats")]
+    return spark.createDataFrame(made, "task string, scalar double").withColumn("scalar", F.round("scalar", 9))
+
+
 @add("load_append", f"""with {CP} select src, dst, 0 as created_level, count(*) as n from cp group by 1, 2
 union all select dst, src, 1, 1 from (select distinct src, dst from cp)""")
 def load_append(spark, d):
