@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.heavy_keys import hot_keys_of, hot_keys_seen, look_up
 from ..workspace import Workspace
 from .supersteps import parted
 
@@ -26,11 +27,13 @@ def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85, toleranc
     if not n:
         return spark.createDataFrame([], f"id long, rank {'float' if single else 'double'}")
     ws = Workspace(spark, "pagerank")
-    e, seen = ws.save_counted(graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "edges", hot=hot_keys_seen("src"))
-    out = e.groupBy("src").agg(F.sum("m").alias("d"))
-    parts = look_up(e, out, "src", hot_keys_of(seen["hot"], seen["n"])).select("src", "dst", (F.col("m") / F.col("d")).alias("part"))
-    # parted by src with a set number, so that every step's sums, shuffled by dst, meet them without another shuffle
-    links = parted(ws, parts, "src", "links")
+    # parted by src with a set number, so that the degrees, and every step's sums, shuffled by dst, meet them in place
+    laid = parted(ws, graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "src", "edges")
+    out = laid.table.groupBy(F.col("src").alias("id")).agg(F.sum("m").alias("d"))
+    salt = ["_salt"] if laid.hubs else []
+    parts = laid.meet(out, "id", how="inner").select("src", "dst", (F.col("m") / F.col("d")).alias("part"), *salt).persist()
+    laid.unpersist()  # before it is filled
+    links = replace(laid, edges=parts)
     base = (1.0 - damping) / n
     state = None  # ranks of vertices with in-edges; all others have the base rank, at first 1/N
     done = 0
