@@ -1,4 +1,4 @@
-"""Betweenness centrality by Brandes' accumulation over batches of sources."""
+"""Betweenness centrality: by place on components that are paths, else by Brandes' accumulation over batches of sources."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..workspace import Workspace
+from .paths import path_places
 from .supersteps import BLOCK, parted, run, superstep
 
 
@@ -14,16 +15,39 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256
     """(id, bc) of every vertex: the sum over sources s of its share of the shortest paths from s, s itself left out.
 
     Directed, without weights, not normalised; parallel edges are paths of their own. sources (id; a repeated one counts
-    again): all vertices by default. State is keyed by (source, vertex) and sources are taken in batches by hash, which
-    bound it to about ``batch`` times the vertices.
+    again): all vertices by default. Then a vertex of a component that is one path has as many pairs around it as vertices
+    before it times those after it, and only the other components are searched. State is keyed by (source, vertex) and
+    sources are taken in batches by hash, which bound it to about ``batch`` times the vertices.
     """
-    spark = graph.edges.sparkSession
-    ws = Workspace(spark, "betweenness")
-    e = graph.view.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    ws = Workspace(graph.edges.sparkSession, "betweenness")
+    edges = graph.view.select("src", "dst")
+    if sources is not None:
+        return _of_every(graph, _searched(ws, edges, sources, batch))
+    paths, found, others = path_places(ws, edges)
+    score = None
+    if found:
+        score = paths.select("id", (F.col("before").cast("double") * F.col("after")).alias("x"))
+        edges = edges.join(paths.withColumnRenamed("id", "src"), "src", "left_anti")
+    if others:
+        ends = edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id")).distinct()  # the rest reaches nothing
+        searched = _searched(ws, edges, ends, batch)
+        score = searched if score is None else score.unionByName(searched)
+    return _of_every(graph, score)
+
+
+def _of_every(graph: Graph, score: DataFrame | None) -> DataFrame:
+    every = graph.vertices()
+    if score is None:
+        return every.withColumn("bc", F.lit(0.0))
+    # without a join, as both have about as many rows
+    return every.select("id", F.lit(0.0).alias("x")).unionByName(score).groupBy("id").agg(F.sum("x").alias("bc"))
+
+
+def _searched(ws: Workspace, edges: DataFrame, sources: DataFrame, batch: int) -> DataFrame | None:
+    """(id, x): shares that add up to the betweenness from the sources over these edges."""
+    e = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m"))
     out = parted(ws, e, "src", "out")
     back = parted(ws, out.table, "dst", "back")
-    if sources is None:
-        sources = graph.vertices()
     asked, got = ws.save_counted(sources.groupBy("id").agg(F.count(F.lit(1)).alias("times")), "sources")
     batches = -(-got["n"] // batch)
     score = None
@@ -59,10 +83,7 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256
         score = own if score is None else score.unionByName(own)
     out.unpersist()
     back.unpersist()
-    every = graph.vertices()
-    if score is None:
-        return every.withColumn("bc", F.lit(0.0))
-    return every.join(score.groupBy("id").agg(F.sum("x").alias("bc")), "id", "left").fillna(0.0, ["bc"])
+    return score
 
 
 def drawn_sources(graph: Graph, k: int = 100, seed: int = 1) -> DataFrame:

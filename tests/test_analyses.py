@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelgraph import tasks
-from levelgraph.plans import betweenness, components, pagerank, supersteps, traversal, triangles
+from levelgraph.plans import betweenness, components, pagerank, paths, supersteps, traversal, triangles
 from levelgraph.workspace import Workspace
 
 from .conftest import rows
@@ -132,6 +132,33 @@ def test_betweenness(spark):
     assert betweenness.drawn_sources(graph(spark, PATH5), 30).count() == 30
 
 
+def test_betweenness_of_paths_needs_no_search(spark, monkeypatch):
+    monkeypatch.setattr(betweenness, "_searched", None, raising=False)
+    monkeypatch.setattr(betweenness, "run", None)
+    chain = [(7 * i % 101, 7 * (i + 1) % 101) for i in range(100)]
+    edges = chain + chain[:9] + [(200, 201), (5, 5), (210, 210)]
+    got = dict(rows(betweenness.betweenness(graph(spark, edges))))
+    assert got == dict(enumerate(float(x) for x in brute_bc(edges, 211))) and max(got.values()) == 2500
+
+
+def test_paths_are_told_from_other_components(spark):
+    def path(first, n):
+        return [(i, i + 1) for i in range(first, first + n - 1)]
+
+    alone = path(0, 2) + path(10, 8) + path(20, 9) + path(30, 14) + [(30, 31), (11, 11)]
+    ring = [(50, 51), (51, 52), (52, 50), (60, 61), (61, 60)]
+    tied = path(70, 6) + [(75, 80), (80, 81), (80, 90)] + path(90, 5) + path(100, 6) + [(105, 102)] + path(110, 5) + [(114, 115), (116, 115)]
+    edges = alone + ring + tied
+    got, found, others = paths.path_places(Workspace(spark, "test"), spark.createDataFrame(edges, "src long, dst long"))
+    want = sorted((a + i, i, n - 1 - i) for a, n in ((0, 2), (10, 8), (20, 9), (30, 14)) for i in range(n))
+    assert rows(got, "id", "before", "after") == want and found == len(want)
+    assert others == len({v for e in ring + tied for v in e})
+    bc = dict(rows(betweenness.betweenness(graph(spark, edges))))
+    assert len(bc) == 117 and all(math.isclose(bc[i], x, abs_tol=1e-9) for i, x in enumerate(brute_bc(edges, 117)))
+    none = paths.path_places(Workspace(spark, "test"), spark.createDataFrame(ring, "src long, dst long"))
+    assert none == (None, 0, 5) and rows(betweenness.betweenness(graph(spark, [(1, 1)]))) == [(0, 0.0), (1, 0.0)]
+
+
 def test_components(spark):
     label = lambda e: [c for _, c in rows(components.strong_components(graph(spark, e)))]
     assert label(PATH5) == [0, 1, 2, 3, 4]
