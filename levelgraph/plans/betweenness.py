@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..workspace import Workspace
+from .near import Near
 from .paths import path_places
 from .supersteps import BLOCK, parted, run, superstep
 
+#: Different edges, and vertices with edges, up to which every task reads the whole graph, for some of the sources.
+NEAR_EDGES, NEAR_VERTICES = 6_000_000, 1 << 18
+
 
 def betweenness(graph: Graph, sources: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """(id, bc) of every vertex: the sum over sources s of its share of the shortest paths from s, s itself left out.
 
     Directed, without weights, not normalised; parallel edges are paths of their own. sources (id; a repeated one counts
     again): all vertices by default. Then a vertex of a component that is one path has as many pairs around it as vertices
-    before it times those after it, and only the other components are searched. State is keyed by (source, vertex) and
-    sources are taken in batches by hash, which bound it to about ``batch`` times the vertices.
+    before it times those after it, and only the other components are searched: up to NEAR_EDGES and NEAR_VERTICES by
+    tasks that read all their edges, for some of the sources each; beyond these in supersteps, where state is keyed by
+    (source, vertex) and sources are taken in batches by hash, which bound it to about ``batch`` times the vertices.
     """
     ws = Workspace(graph.edges.sparkSession, "betweenness")
     edges = graph.view.select("src", "dst")
@@ -45,10 +56,12 @@ def _of_every(graph: Graph, score: DataFrame | None) -> DataFrame:
 
 def _searched(ws: Workspace, edges: DataFrame, sources: DataFrame, batch: int) -> DataFrame | None:
     """(id, x): shares that add up to the betweenness from the sources over these edges."""
-    e = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    e, laid = ws.save_counted(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m")), "edges")
+    asked, got = ws.save_counted(sources.groupBy("id").agg(F.count(F.lit(1)).alias("times")), "sources")
+    if laid["n"] <= NEAR_EDGES and e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().count() <= NEAR_VERTICES:
+        return _searched_near(ws, asked, got["n"])
     out = parted(ws, e, "src", "out")
     back = parted(ws, out.table, "dst", "back")
-    asked, got = ws.save_counted(sources.groupBy("id").agg(F.count(F.lit(1)).alias("times")), "sources")
     batches = -(-got["n"] // batch)
     score = None
     keys = ["s", "v"]
@@ -86,6 +99,39 @@ def _searched(ws: Workspace, edges: DataFrame, sources: DataFrame, batch: int) -
     return score
 
 
+def _searched_near(ws: Workspace, asked: DataFrame, n: int) -> DataFrame:
+    """The shares of the sources asked (id, times), n of them; a task has some of these and all of the edges written."""
+    files = [x.replace("file:/", "file:///", 1) if not x.startswith("file://") else x for x in ws.files("edges")]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = [b for b in batches if b.num_rows]
+        if not mine:
+            return
+        net = Near(*_read_edges(files))
+        for b in mine:
+            net.add(b.column("id").to_numpy(), b.column("times").to_numpy())
+        hit = np.flatnonzero(net.score)
+        for i in range(0, len(hit), 1 << 16):
+            some = hit[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(net.ids[some]), pa.array(net.score[some])], names=["id", "x"])
+
+    tasks = max(1, min(n, 4 * ws.spark.sparkContext.defaultParallelism))
+    found = asked.where("id is not null").repartition(tasks, "id").mapInArrow(search, "id long, x double")
+    return ws.save(found.groupBy("id").agg(F.sum("x").alias("x")), "near")
+
+
+def _read_edges(files: list[str]) -> list[np.ndarray]:
+    """src, dst and m of files of edges; loops and missing ends are left out, as no shortest path has them."""
+    parts: dict[str, list[np.ndarray]] = {c: [np.empty(0, kind)] for c, kind in (("src", np.int64), ("dst", np.int64), ("m", np.float64))}
+    for x in files:
+        fs, path = pafs.FileSystem.from_uri(x.replace("s3a://", "s3://", 1))
+        t = pq.read_table(path, filesystem=fs, columns=list(parts)).drop_null()
+        way = t["src"].to_numpy() != t["dst"].to_numpy()
+        for c, held in parts.items():
+            held.append(t[c].to_numpy()[way])
+    return [np.concatenate(parts.pop(c)) for c in list(parts)]  # a column at a time, to hold little twice
+
+
 def drawn_sources(graph: Graph, k: int = 100, seed: int = 1) -> DataFrame:
     """k existing vertices drawn with replacement, alike for a seed."""
     from .ordering import with_row_number

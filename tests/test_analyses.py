@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter, defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from levelgraph import tasks
-from levelgraph.plans import betweenness, components, pagerank, paths, supersteps, traversal, triangles
+from levelgraph.plans import betweenness, components, near, pagerank, paths, supersteps, traversal, triangles
 from levelgraph.workspace import Workspace
 
 from .conftest import rows
@@ -159,6 +160,34 @@ def test_paths_are_told_from_other_components(spark):
     assert none == (None, 0, 5) and rows(betweenness.betweenness(graph(spark, [(1, 1)]))) == [(0, 0.0), (1, 0.0)]
 
 
+def test_betweenness_of_a_graph_that_a_task_holds(spark, monkeypatch):
+    edges = scattered(30, 80) + scattered(30, 80)[:20] + [(4, 4)]
+    n = 1 + max(max(e) for e in edges)
+    want = brute_bc(edges, n)
+    close = lambda df: all(math.isclose(x, want[i], abs_tol=1e-9) for i, x in rows(df))
+    with monkeypatch.context() as m:
+        m.setattr(betweenness, "run", None)
+        assert close(betweenness.betweenness(graph(spark, edges), batch=7))
+    monkeypatch.setattr(betweenness, "NEAR_VERTICES", 5)
+    monkeypatch.setattr(betweenness, "_searched_near", None)
+    assert close(betweenness.betweenness(graph(spark, edges)))
+
+
+@pytest.mark.parametrize("pairs, piece", [(1, 1), (100, 7), (1 << 20, 1 << 20)])
+def test_near_edges_are_walked_from_either_end(monkeypatch, pairs, piece):
+    monkeypatch.setattr(near, "PAIRS", pairs)
+    monkeypatch.setattr(near, "SLICE", piece)
+    for n, m in ((12, 90), (40, 50), (40, 200), (2, 1)):
+        edges = scattered(n, m, m) + [(0, 1), (1, 0)]
+        sources = random.Random(m).choices(range(n), k=25)
+        drawn, many = Counter(sources), Counter(edges)
+        a, b, k = (np.array(x) for x in zip(*((*e, c) for e, c in many.items())))
+        net = near.Near(a, b, k.astype(float))
+        net.add(np.array([*drawn, n + 5]), np.array([*drawn.values(), 1]))
+        want = brute_bc(edges, n, sources)
+        assert np.allclose(net.score, [want[i] for i in net.ids]) and not net.sigma.any() and not net.told.any() and not net.got.any()
+
+
 def test_components(spark):
     label = lambda e: [c for _, c in rows(components.strong_components(graph(spark, e)))]
     assert label(PATH5) == [0, 1, 2, 3, 4]
